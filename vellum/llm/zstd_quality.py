@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, column, texts
 from .gbt_rules import sample_labels
 
-#: Bounds of the fitted sample: labelled rows for calibration, and for each class rows and bytes for its dictionary.
-CALIBRATION_ROWS, CLASS_ROWS, CLASS_BYTES = 8_000, 3_000, 16_000_000
+#: Bounds of the fitted sample: labelled rows, rows of each class for its dictionary, and blocks of each of these.
+LABELLED_ROWS, CLASS_ROWS, PARTS = 30_000, 3_000, 6
 BLOCK, DICT_BYTES, LEVEL = 2048, 112_640, 3
 
 
@@ -59,24 +59,29 @@ class Model:
         return np.clip(np.interp(d, self.knots, self.values), 0.0, 1.0)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, groups: int = 200) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, groups: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Non-decreasing fit of y on x by pooling neighbours, from at most ``groups`` equal groups; knots and their values."""
     if not len(x):
         return np.array([0.0]), np.array([0.5])
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []
-    prior = float(y.mean())
     for part in np.array_split(order, min(groups, len(order))):
-        pools.append([float(x[part].mean()), float(y[part].sum()) + prior, len(part) + 1.0])
+        pools.append([float(x[part].mean()), float(y[part].sum()), float(len(part))])
         while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
             b, a = pools.pop(), pools.pop()
             pools.append([(a[0] * a[2] + b[0] * b[2]) / (a[2] + b[2]), a[1] + b[1], a[2] + b[2]])
-    return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
+    return np.array([p[0] for p in pools]), np.array([(p[1] + 0.1) / (p[2] + 0.2) for p in pools])
+
+
+def spread(text: str) -> list[bytes]:
+    """Blocks of the text, evenly spread over the whole of it if there are more than PARTS."""
+    found = blocks(text.encode("utf-8", "surrogatepass"))
+    return [found[i * len(found) // PARTS] for i in range(PARTS)] if len(found) > PARTS else found
 
 
 def dictionary(samples: list[bytes]) -> bytes:
     """A trained dictionary; of too little text to train on, the text itself."""
-    parts = [b for s in samples for b in blocks(s)[:8] if len(b) >= 8]
+    parts = [b for b in samples if len(b) >= 8]
     if not parts:
         return b""
     try:
@@ -87,20 +92,19 @@ def dictionary(samples: list[bytes]) -> bytes:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Dictionaries from one part of the bounded sample, calibration from the other.  ``labels`` must hold training rows only."""
-    chosen = sample_labels(labels, label, CALIBRATION_ROWS + 8 * CLASS_ROWS)
+    chosen = sample_labels(labels, label, LABELLED_ROWS)
     part = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").withColumn("_fit", F.pmod(F.xxhash64("doc_id", F.lit("dictionary")), F.lit(10)) < 5)
+    def cut():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.record_batch([column(batch, "doc_id"), column(batch, "_label"), pa.array([spread(t) for t in texts(batch)], pa.list_(pa.binary()))], ["doc_id", "y", "parts"])
+
+        return f
+
+    parts = arrow_map(part.where("_fit").select("doc_id", "text", "_label"), cut, "doc_id long, y int, parts array<binary>")
     samples: dict[int, list[bytes]] = {}
-    for y in (1, 0):
-        # what the driver holds is bounded in rows and bytes: 16 kB a text (the trainer takes 8 blocks of each)
-        text = F.substring("text", 1, 8 * BLOCK).alias("text")
-        rows = part.where(F.col("_fit") & (F.col("_label") == y)).select("doc_id", text).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CLASS_ROWS).collect()
-        got, left = [], CLASS_BYTES
-        for r in rows:
-            raw = r["text"].encode("utf-8", "surrogatepass")[: 8 * BLOCK]
-            if left > 0:
-                got.append(raw)
-                left -= len(raw)
-        samples[y] = got
+    for y in (1, 0):  # what the driver holds is bounded in rows, and in bytes of each
+        rows = parts.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CLASS_ROWS).collect()
+        samples[y] = [bytes(b) for r in rows for b in r["parts"]]
     good, bad = dictionary(samples[1]), dictionary(samples[0])
 
     def make():
@@ -111,8 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
         return f
 
-    rest = part.where(~F.col("_fit")).where(F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(CLASS_ROWS * 4 + CALIBRATION_ROWS // 2)) < CALIBRATION_ROWS)
-    got = arrow_map(rest.select("doc_id", "text", "_label"), make, "doc_id long, y int, d double").toPandas().sort_values(["d", "doc_id"], kind="stable")
+    got = arrow_map(part.where("not _fit").select("doc_id", "text", "_label"), make, "doc_id long, y int, d double").toPandas().sort_values(["d", "doc_id"], kind="stable")
     knots, values = isotonic(got["d"].to_numpy(float), got["y"].to_numpy(float))
     return Model(good, bad, knots, values)
 
