@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gbt_rules, zstd_quality
+from . import gbt_rules, language_id, zstd_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,3 +38,11 @@ def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = zstd_quality.train(docs, table(spark, sf_dir, "labels").where(remainder(5) != 0))
     return zstd_quality.compression_score(docs, model).withColumn("held_out", remainder(5) == 0).select("doc_id", "held_out", "score", "predicted", "difference")
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(remainder(4) != 2))
+    found = language_id.language_id(docs, model)
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
