@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gbt_rules, language_id, zstd_quality
+from . import gbt_rules, language_id, token_records, tree_bpe, zstd_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -18,6 +18,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,3 +53,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(remainder(4) != 2))
     found = language_id.language_id(docs, model)
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+@query
+def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = tree_bpe.encode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), decoded=True)
+    n_tokens = (F.length("ids") / 4).cast("long").alias("n_tokens")
+    return coded.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_records.write_records(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
+    return token_records.checksums(token_records.read_records(manifest))
