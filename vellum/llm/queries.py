@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gbt_rules, language_id, token_records, tree_bpe, zstd_quality
+from . import arc_warc, gbt_rules, language_id, source_mix, token_records, tree_bpe, zstd_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,6 +34,13 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+@query
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = arc_warc.convert(arc_warc.write_arc(table(spark, sf_dir, "pages")), min_bytes=0)
+    found = arc_warc.scan_warc(archives)
+    return found.select(F.col("row_id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -66,3 +73,11 @@ def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_records.write_records(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
     return token_records.checksums(token_records.read_records(manifest))
+
+
+@query
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+ORACLE_SQL["op6_source_mix"] = source_mix.SQL
