@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, gbt_rules, jaccard_join, language_id, source_mix, token_records, tree_bpe, zstd_quality
+from . import arc_warc, fuzzy_lines, gbt_rules, jaccard_join, language_id, source_mix, token_records, tree_bpe, zstd_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,6 +47,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gbt_rules.quality_rules(docs, gbt_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents"))
+    n_dropped = F.size("dropped").alias("n_dropped")
+    return found.select("doc_id", "n_lines", n_dropped, "dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 @query
 def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
