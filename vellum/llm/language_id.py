@@ -229,25 +229,27 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     return Model(langs, np.clip(table, -6, 6), scripts)
 
 
-def language_id(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score and spans array<struct<first_word, last_word, lang>> for every whole text.
+def language_id(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of ``carry``, lang_pred, score and spans array<struct<first_word, last_word, lang>> for every whole text.
 
     Null and empty texts, and texts without a letter, are ``und`` with score 0 and no spans; so is every text if the
     model knows no language.  Ties go to the language first by code point.  Null ids and repeated rows keep a row each;
-    other columns are not read.
+    columns that aren't carried are not read.
     """
+    kept = docs.select(*carry)
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            values = texts(batch)
+            values = texts(batch, "_text")
             out: list = [("und", 0.0, [])] * len(values)
             if model.langs:
                 for at, group in groups(values):
                     for i, x in zip(at, identify(group, model), strict=True):
                         out[i] = x
             spans = pa.array([[{"first_word": a, "last_word": b, "lang": x} for a, b, x in s] for *_, s in out], pa.list_(pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("lang", pa.string())])))
-            return pa.record_batch([column(batch, "doc_id"), pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.float64()), spans], ["doc_id", "lang_pred", "score", "spans"])
+            return pa.record_batch([*(column(batch, c) for c in carry), pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.float64()), spans], [*carry, "lang_pred", "score", "spans"])
 
         return f
 
-    return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, lang_pred string, score double, spans array<struct<first_word:int,last_word:int,lang:string>>")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string, score double, spans array<struct<first_word:int,last_word:int,lang:string>>"])
+    return arrow_map(docs.select(*carry, F.col("text").alias("_text")), make, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, fuzzy_lines, gbt_rules, jaccard_join, language_id, source_mix, token_records, tree_bpe, zstd_quality
+from . import arc_warc, fuzzy_lines, gbt_rules, jaccard_join, language_id, mih_search, source_mix, token_records, tree_bpe, zstd_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,6 +61,15 @@ def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_quality.compression_score(docs, model).withColumn("held_out", remainder(5) == 0).select("doc_id", "held_out", "score", "predicted", "difference")
 
 
+@query
+def op7_mih_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mih_search.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+ORACLE_SQL["op7_mih_search"] = mih_search.SQL
+
+
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
