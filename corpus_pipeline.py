@@ -27,13 +27,14 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and documents that these leave without a word."""
-    found = fuzzy_lines.dedup_lines(docs)
+    found = fuzzy_lines.dedup_lines(docs.select(COLUMNS))
     left = (F.size("dropped") == 0) | F.col("text").rlike(WORD)
     return found.where(left).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; rows without an id stay."""
+    docs = docs.select(COLUMNS)
     groups = jaccard_join.jaccard_groups(docs)
     first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -42,6 +43,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole number of times."""
+    docs = docs.select(COLUMNS)
     taken = source_mix.mix(docs).groupBy("doc_id", "source").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
     taken = taken.withColumn("times", F.expr("cast((2 * taken + size) div (2 * size) as int)")).where("size > 0 and times > 0")
     keep = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "times")
