@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # fixed values: suffix rules of steps 2 to 4
 STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log"}
@@ -78,7 +79,7 @@ def stem(w: str) -> str:
     return w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stems(tokens: pd.Series) -> pd.Series:
     """Stems of arrays of words."""
     return tokens.map(lambda x: None if x is None else [stem(w) for w in x])

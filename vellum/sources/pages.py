@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +17,26 @@ RESERVED = ("index.md", "log.md", "schema.md")
 SUFFIXES = (".md", ".txt", ".csv", ".json", ".html", ".pdf", ".xlsx", ".pptx")
 
 
+def hidden_folders(spark: SparkSession, root: str) -> list[str]:
+    """Folders that Spark's readers pass over by themselves, as their names begin with an underscore or a dot."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs, todo, found = path.getFileSystem(spark._jsc.hadoopConfiguration()), [path], []
+    while todo:
+        for x in fs.listStatus(todo.pop()):
+            if x.isDirectory():
+                todo.append(x.getPath())
+                if x.getPath().getName().startswith(("_", ".")):
+                    found.append(x.getPath().toString())
+    return found
+
+
 def read_pages(spark: SparkSession, root: str, mode: str = "hygiene") -> DataFrame:
     """path, stem, dir, type, title, created, text of the markdown files under a folder.
 
     hygiene leaves out reserved names, the _suspect folder and dotted parts; scoring keeps _suspect and leaves out dotted
     files; graph leaves out reserved names and _suspect only.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text([root, *(hidden_folders(spark, root) if mode != "hygiene" else [])], wholetext=True)
     path = F.regexp_replace(F.url_decode(F.input_file_name()), "^.*?" + re.escape(root.removeprefix("file://").rstrip("/")) + "/", "")
     df = raw.select(path.alias("path"), F.col("value").alias("text"))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
@@ -72,7 +87,7 @@ def pipe_tables(text: str) -> list[tuple[str, list[str], list[list[str]]]]:
 
 def explode_tables(pages: DataFrame) -> DataFrame:
     """path, table_no, description, headers, row_idx, cells of the pipe tables in pages."""
-    import pandas as pd
+
 
     kind = "array<struct<description:string,headers:array<string>,rows:array<array<string>>>>"
 
