@@ -56,7 +56,7 @@ def read_drop(spark: SparkSession, root: str, most: int = 500, suffixes: tuple[s
     """path, length, sha256 and text of the first files with an allowed suffix, by path; undecodable bytes become U+FFFD."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     ok = F.lower("path").rlike("(" + "|".join(re.escape(s) for s in suffixes) + ")$")
-    return raw.where(ok).orderBy("path").limit(most).select("path", "length", F.sha2("content", 256).alias("sha256"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return raw.where(ok).orderBy("path").limit(most).select("path", "length", F.sha2("content", 256).alias("sha256"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def read_events(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
