@@ -153,3 +153,43 @@ def fuse(lists: list[DataFrame], key: str, limit: int, constant: int = 60) -> Da
         every = every.unionByName(x)
     got = every.groupBy(key).agg(F.sum(F.lit(1.0) / (constant + F.col("rank"))).alias("score"), F.min(F.struct("stream", "rank")).alias("first"))
     return got.select(key, F.round("score", 6).alias("score"), F.col("first.stream").alias("stream"), F.col("first.rank").alias("_rank")).orderBy(F.desc("score"), "stream", "_rank", key).limit(limit).drop("_rank")
+
+
+def fuzzy(rows: DataFrame, key: str, query: str, fields: dict[str, float], worst: float = 0.35, limit: int = 200) -> DataFrame:
+    """key and score (0 is equal) of rows whose weighted fields are near the query, by edit distance over the longer length."""
+    total = sum(fields.values())
+    q = F.lit(query.lower())
+    near = lambda f: F.levenshtein(F.lower(f), q) / F.greatest(F.length(f), F.length(q), F.lit(1))
+    score = F.lit(0.0)
+    for f, w in fields.items():
+        score = score + F.when(F.lower(f).contains(q), F.lit(0.0)).otherwise(near(f)) * (w / total)
+    return rows.select(key, F.round(score, 6).alias("score")).where(F.col("score") <= worst).orderBy("score", key).limit(limit)
+
+
+def hashed_vectors(docs: DataFrame, key: str, dim: int = 64) -> DataFrame:
+    """A stand-in encoder: signed word hashes summed over the first 8000 characters, unit length.  Models are injected."""
+    words = docs.select(key, F.explode(tx.words(F.substring("text", 1, 8000))).alias("w"))
+    part = words.select(key, F.pmod(F.xxhash64("w"), F.lit(dim)).cast("int").alias("i"), F.when(F.pmod(F.xxhash64("w", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("v")).groupBy(key, "i").agg(F.sum("v").alias("v"))
+    rows = part.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
+    return rows.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.greatest(F.col("n"), F.lit(1e-9))).cast("float")).alias("embedding"))
+
+
+def coverage_gap(pages: DataFrame, docs: DataFrame, limit: int = 10) -> DataFrame:
+    """path and gap: of the best documents for a page's stem words, the share that its text doesn't cite.
+
+    All pages are queries at once: the distinct stem words meet the postings, so each page costs its own words only.
+    """
+    words = pages.select("path", "text", F.explode(F.array_distinct(F.filter(tx.words(F.replace("stem", F.lit("-"), F.lit(" "))), lambda w: F.length(w) >= 3))).alias("term"))
+    n_terms = words.groupBy("path").agg(F.count("*").alias("n_terms"))
+    index = postings(docs, "doc")
+    needed = index.join(words.select("term").distinct(), "term", "left_semi")
+    df = needed.groupBy("term").agg(F.count("*").alias("df"))
+    length = docs.select("doc", F.size(tx.words("text")).alias("len"))
+    corpus = length.agg(F.count("*").alias("n"), F.avg("len").alias("average"))
+    scored = words.select("path", "term").join(needed, "term").join(df, "term").join(length, "doc").crossJoin(F.broadcast(corpus))  # one row
+    each = scored.select("path", "doc", score_terms([F.col("tf")], F.col("len"), F.col("average"), [idf(F.col("n"), F.col("df"))]).alias("s"))
+    hits = each.groupBy("path", "doc").agg(F.sum("s").alias("s"), F.count("*").alias("k")).join(n_terms, "path").where("k = n_terms")
+    best = hits.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy(F.desc(F.round("s", 6)), "doc"))).where(F.col("r") <= limit)
+    cited = pages.select("path", F.explode(F.array_distinct(tx.citations(F.lower("text")))).alias("c"))
+    got = best.join(cited, (best["path"] == cited["path"]) & (F.lower("doc") == F.col("c")), "left").groupBy(best["path"]).agg(F.avg(F.when(F.col("c").isNull(), 1.0).otherwise(0.0)).alias("gap"))
+    return pages.select("path").join(got, "path", "left").select("path", F.coalesce("gap", F.lit(0.0)).alias("gap"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import naming
 from vellum.functions import text as tx
-from vellum.operators import activity, gates, graph, lifecycle, lint, search, tables
+from vellum.operators import activity, gates, graph, lifecycle, lint, rewrites, search, tables
 from vellum.operators.tables import Declared
 from vellum.plans import fixtures, planner
 from vellum.plans.fixtures import AS_OF, Fixtures
@@ -729,6 +729,45 @@ def epoch_summary(f):
     return one.withColumn("mode", F.when(F.col("dead") > 0, "create").otherwise("repair"))
 
 
+# ---------------------------------------------------------------- rewrites
+
+
+@query("select path, replace(replace(text, '[[Part ', '[[part-'), 'title: ' || title, 'title: ' || case type when 'concept' then '[con]' when 'entity' then '[ent]' when 'analysis' then '[ana]' when 'evidence' then '[evi]' else '[src]' end || ' ' || title) as text from wiki_page")
+def page_rewrites(f):
+    fixed = f.pages.select("path", rewrites.title_prefix("text").alias("text"))
+    return fixed.select("path", rewrites.normalise_links("text").alias("text"))
+
+
+@query("select p_partkey, 'ring `ring` (vault:a) see [[x|y]] ' || case when p_partkey % 3 = 0 then 'widget widget' else '[[w|widget]]' end as text from part")
+def link_application(f):
+    text = F.expr("'ring `ring` (vault:a) (vault:a) see [[x|y]] ' || if(p_partkey % 3 = 0, 'widget widget', 'widget')")
+    once = rewrites.dedup_citations(text)
+    return f.part.select("p_partkey", rewrites.apply_link(once, F.lit("widget"), F.lit("w")).alias("text"))
+
+
+@query("select doc_id as path, case when doc_id % 10 = 0 then 'removed' when doc_id % 10 = 1 then 'added' else 'changed' end as state from documents where doc_id % 10 in (0, 1, 2)")
+def guard_check(f):
+    base = f.documents.select(F.col("doc_id").alias("path"), "text")
+    now = base.where("path % 10 <> 0").withColumn("text", F.when(F.col("path") % 10 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return rewrites.tampered(rewrites.fingerprint(now), rewrites.fingerprint(base.where("path % 10 <> 1")))
+
+
+@query("""with s as (select p_partkey, round((case when contains(lower(p_name), 'red ring') then 0.0 else levenshtein(lower(p_name), 'red ring') / greatest(length(p_name), 8) end) * 0.875 + (case when contains(lower(p_type), 'red ring') then 0.0 else levenshtein(lower(p_type), 'red ring') / greatest(length(p_type), 8) end) * 0.125, 6) as score from part)
+select p_partkey, score from s where score <= 0.35 order by score, p_partkey limit 200""")
+def fuzzy_titles(f):
+    return search.fuzzy(f.part, "p_partkey", "Red Ring", {"p_name": 0.7, "p_type": 0.1})
+
+
+@query("""with q as (select path, lower(text) as text, ['that', 'with'] as w from wiki_page where stem like 'o-1%'), tok as (select 'src/' || doc_id as doc, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as t from documents),
+c as (select doc, len(t) as l, len(list_filter(t, lambda x: x = 'that')) as f0, len(list_filter(t, lambda x: x = 'with')) as f1 from tok), st as (select count(*) as n, avg(l) as a, count(*) filter (f0 > 0) as d0, count(*) filter (f1 > 0) as d1 from c),
+sc as (select doc, round(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * l / a)) + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * l / a)), 6) as s from c, st where f0 > 0 and f1 > 0),
+top as (select doc from sc order by s desc, doc limit 10) select path, 1.0 as gap from q""")
+def coverage_gap(f):
+    asked = f.pages.where("stem like 'o-1%'").select("path", F.lit("that-with").alias("stem"), "text")
+    docs = f.documents.select(F.expr("'src/' || doc_id").alias("doc"), "text")
+    return search.coverage_gap(asked, docs)
+
+
 # ---------------------------------------------------------------- streams
 
 
