@@ -167,10 +167,10 @@ def source_page_refs(f):
     return rows.select(F.col("k").cast("long").alias("k"), F.array_join(tx.source_pages(text), ",").alias("pages"))
 
 
-@query("""select event_id, event_type = 'purchase' as done, event_id % 40 as todo_id, '2024-01-' || lpad(cast(event_id % 28 + 1 as varchar), 2, '0') as created from events where event_id % 3 = 0""")
+@query("""select event_id, event_type = 'purchase' as done, event_id % 40 as todo_id, '2024-01-' || lpad(cast(event_id % 28 + 1 as varchar), 2, '0') as created from events""")
 def todo_markers(f):
     text = F.expr("""'# Todo' || chr(10) || '```' || chr(10) || '- [ ] fake (todo:T9)' || chr(10) || '```' || chr(10) || '- [' || if(event_type = 'purchase', 'x', ' ') || '] do ' || event_id || ' (created: 2024-01-' || lpad(cast(event_id % 28 + 1 as string), 2, '0') || ') (todo:T' || (event_id % 40) || ')'""")
-    pages = f.events.where("event_id % 3 = 0").select(F.col("event_id").alias("path"), text.alias("text"))
+    pages = f.events.select(F.col("event_id").alias("path"), text.alias("text"))
     return lifecycle.todos(pages).select(F.col("path").alias("event_id"), "done", "todo_id", "created")
 
 
@@ -675,9 +675,9 @@ def identifier_lookup(f):
     return lifecycle.lookup(f.part.select(name.alias("name")), cache)
 
 
-@query("""with r as (select lower(trim(p_name)) as name, p_brand as page from part where p_partkey % 2 = 0) select name, cast(count(distinct page) as bigint) as n_pages, min(page) as first_page from r where name not in (select lower(p_name) from part where p_partkey < 20) group by name""")
+@query("""with r as (select lower(trim(p_name)) as name, p_brand as page from part) select name, cast(count(distinct page) as bigint) as n_pages, min(page) as first_page from r where name not in (select lower(p_name) from part where p_partkey < 20) group by name""")
 def request_queue(f):
-    asked = f.part.where("p_partkey % 2 = 0").groupBy(F.col("p_brand").alias("source_page")).agg(F.collect_list(F.upper("p_name")).alias("names"))
+    asked = f.part.groupBy(F.col("p_brand").alias("source_page")).agg(F.collect_list(F.upper("p_name")).alias("names"))
     return lifecycle.queue(asked, f.part.where("p_partkey < 20").select(F.col("p_name").alias("name")))
 
 
@@ -698,9 +698,9 @@ def link_rewrite(f):
     return lifecycle.rewrite_links(f.pages.select("path", "text"), renames)
 
 
-@query("select doc_id, regexp_replace(regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9-]+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g') as slug from documents")
+@query("select doc_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9-]+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g') as slug from documents")
 def slugify(f):
-    return f.documents.select("doc_id", tx.slug(F.substring("text", 1, 60)).alias("slug"))
+    return f.documents.select("doc_id", tx.slug("text").alias("slug"))
 
 
 @query("""with h as (select page_id, regexp_extract(url, '//(?:www\\.)?([^/]+)', 1) as h from pages), p as (select page_id, h, string_split(h, '.') as p from h)
@@ -758,14 +758,20 @@ def fuzzy_titles(f):
     return search.fuzzy(f.part, "p_partkey", "Red Ring", {"p_name": 0.7, "p_type": 0.1})
 
 
-@query("""with q as (select path, lower(text) as text, ['that', 'with'] as w from wiki_page where stem like 'o-1%'), tok as (select 'src/' || doc_id as doc, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as t from documents),
-c as (select doc, len(t) as l, len(list_filter(t, lambda x: x = 'that')) as f0, len(list_filter(t, lambda x: x = 'with')) as f1 from tok), st as (select count(*) as n, avg(l) as a, count(*) filter (f0 > 0) as d0, count(*) filter (f1 > 0) as d1 from c),
-sc as (select doc, round(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * l / a)) + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * l / a)), 6) as s from c, st where f0 > 0 and f1 > 0),
-top as (select doc from sc order by s desc, doc limit 10) select path, 1.0 as gap from q""")
+@query("""with tok as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as t from documents),
+wd as (select doc_id, unnest(t) as w from tok), lw as (select doc_id, w, row_number() over (partition by doc_id order by length(w) desc, w) as r from (select distinct doc_id, w from wd where length(w) >= 3)),
+asked as (select doc_id, w from lw where r = 1), post as (select w, doc_id, count(*) as tf from wd group by all), df as (select w, count(*) as df from post group by w), st as (select count(*) as n, avg(len(t)) as a from tok),
+hit as (select q.doc_id as page, p.doc_id as doc, row_number() over (partition by q.doc_id order by round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(k.t) / a)), 6) desc, 'src/' || p.doc_id) as r
+    from asked q join post p on q.w = p.w join df on df.w = q.w join tok k on k.doc_id = p.doc_id, st),
+g as (select page, avg(case when page % 2 = 0 and page = doc then 0.0 else 1.0 end) as gap from hit where r <= 10 group by page)
+select 'p/' || d.doc_id as path, round(coalesce(gap, 0.0), 6) as gap from documents d left join g on g.page = d.doc_id""")
 def coverage_gap(f):
-    asked = f.pages.where("stem like 'o-1%'").select("path", F.lit("that-with").alias("stem"), "text")
+    words = F.array_distinct(F.filter(tx.words("text"), lambda w: F.length(w) >= 3))
+    longest = F.try_element_at(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]
+    cite = F.expr("if(doc_id % 2 = 0, '(vault:src/' || doc_id || ')', 'none')")
+    asked = f.documents.select(F.expr("'p/' || doc_id").alias("path"), F.coalesce(longest, F.lit("")).alias("stem"), cite.alias("text"))
     docs = f.documents.select(F.expr("'src/' || doc_id").alias("doc"), "text")
-    return search.coverage_gap(asked, docs)
+    return search.coverage_gap(asked, docs).withColumn("gap", F.round("gap", 6))
 
 
 # ---------------------------------------------------------------- streams
