@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,8 +10,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch handed to Python; long texts make larger batches needless and risky.
-ARROW_ROWS = 1000
+#: Rows and bytes in one Arrow batch handed to Python; long texts make larger batches needless and risky.
+ARROW_ROWS, ARROW_BYTES = 1000, 32_000_000
 #: Bytes that separate words, as in the pattern [^\x20\x09-\x0D]+; bytes.split() splits on exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 #: The same words as a Java regular expression.
@@ -48,10 +49,10 @@ def release(*frames: DataFrame) -> None:
 
 
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Hold Arrow batches to so many rows, so that a batch of long texts fits a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+    """Hold Arrow batches to so many rows and ARROW_BYTES, so that a batch of long texts fits a worker's memory."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        if not 0 < int(re.match(r"-?\d+", spark.conf.get(key))[0]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
