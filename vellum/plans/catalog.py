@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import naming
 from vellum.functions import text as tx
-from vellum.operators import activity, gates, graph, lifecycle, lint, rewrites, search, tables
+from vellum.operators import activity, gates, graph, ingest, lifecycle, lint, rewrites, search, tables
 from vellum.operators.tables import Declared
 from vellum.plans import fixtures, planner
 from vellum.plans.fixtures import AS_OF, Fixtures
@@ -774,6 +774,60 @@ def coverage_gap(f):
     return search.coverage_gap(asked, docs).withColumn("gap", F.round("gap", 6))
 
 
+# ---------------------------------------------------------------- ingest
+
+
+@query("""with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' and not starts_with(x, '#') and not starts_with(x, '<!--')) as l from documents),
+n as (select doc_id, l, list_min(list_filter(range(1, len(l) + 1), lambda i: length(array_to_string(l[1:i], ' ')) > 400)) as k from l)
+select doc_id, substring(array_to_string(l[1:coalesce(k, len(l))], ' '), 1, 500) as summary from n""")
+def stub_summary(f):
+    return f.documents.select("doc_id", ingest.stub_summary("text").alias("summary"))
+
+
+@query("""select p_partkey, 'arxiv:2401.' || lpad(cast(p_partkey % 10000 as varchar), 5, '0') || case when p_partkey % 2 = 0 then ',doi:10.1234/x' || p_partkey else '' end as refs from part""")
+def primary_refs(f):
+    text = F.expr("'source_url: https://arxiv.org/abs/2401.' || lpad(cast(p_partkey % 10000 as string), 5, '0') || chr(10) || if(p_partkey % 2 = 0, 'source_url: https://doi.org/10.1234/X' || p_partkey || chr(10), '') || 'arXiv: 9999.00001 in the body'")
+    return f.part.select("p_partkey", F.array_join(ingest.primary_refs(text), ",").alias("refs"))
+
+
+@query("""select 'd/p-' || p_partkey || '.extracted.md' as path, case when p_partkey % 3 = 0 then null when p_partkey % 2 = 0 then 'd/p-' || p_partkey || '.csv' else 'd/p-' || p_partkey || '.pdf' end as original from part""")
+def original_files(f):
+    name = lambda s: F.expr(f"'d/p-' || p_partkey || '{s}'").alias("path")
+    files = f.part.select(name(".extracted.md")).unionByName(f.part.where("p_partkey % 3 <> 0").select(name(".pdf"))).unionByName(f.part.where("p_partkey % 3 <> 0 and p_partkey % 2 = 0").select(name(".csv")))
+    return ingest.originals(files)
+
+
+@query("""with e as (select doc_id as path, sha256(text) as sha from documents), s as (select doc_id as path, case when doc_id % 7 = 0 then sha256(text) end as sha from documents where doc_id % 4 = 0)
+select path from e where path not in (select path from s) and sha not in (select sha from s where sha is not null)""")
+def missing_stubs(f):
+    rows = f.documents.select(F.col("doc_id").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    return ingest.uncovered(rows, rows.where("path % 4 = 0").withColumn("sha", F.when(F.col("path") % 7 == 0, F.col("sha"))))
+
+
+@query("""select cast(count(*) as bigint) as considered, cast(count(*) filter (n_chars >= 300) as bigint) as ok, cast(count(*) filter (n_chars < 300) as bigint) as failed, cast(count(*) filter (n_chars <= 4000) as bigint) as "full", cast(count(*) filter (n_chars > 4000) as bigint) as snippet from documents""")
+def ingest_summary(f):
+    return ingest.run_summary(f.documents.select(F.expr("if(n_chars >= 300, 'ok', 'short')").alias("status"), F.expr("if(n_chars <= 4000, 'full', 'snippet')").alias("mode")))
+
+
+@query("""select 'multimodal' as queue, doc_id as path from documents where doc_id % 2 = 0 and doc_id % 6 <> 0 union all select 'tables', doc_id from documents where doc_id % 5 = 0""")
+def work_queues(f):
+    text = F.expr("'---' || chr(10) || if(doc_id % 2 = 0, 'multimodal_recommended: true' || chr(10), '') || if(doc_id % 6 = 0, 'multimodal_done: True' || chr(10), '') || if(doc_id % 5 = 0, 'has_tables: \\'true\\'' || chr(10), '') || 'title: x' || chr(10) || '---' || chr(10) || text")
+    return ingest.work_queues(f.documents.select(F.col("doc_id").alias("path"), text.alias("text")))
+
+
+@query("""select 'b' || (row_idx % 3) as backup_id, table_stem, max('2024-01-' || lpad(cast(row_idx % 28 + 1 as varchar), 2, '0')) as backup_at, cast(count(*) as bigint) as n_rows from extracted group by 1, 2""")
+def backup_list(f):
+    rows = f.extracted.select(F.expr("'b' || (row_idx % 3)").alias("backup_id"), "table_stem", F.expr("'2024-01-' || lpad(cast(row_idx % 28 + 1 as string), 2, '0')").alias("backup_at"))
+    return ingest.backups(rows)
+
+
+@query("""with w as (select doc_id, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: true) as w from documents),
+p as (select doc_id, w, list_position(list_transform(w, lambda x: lower(regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g'))), 'that') as p from w), b as (select doc_id, w, cast(greatest(1, coalesce(nullif(p, 0), 1) - 20) as bigint) as b from p)
+select doc_id, array_to_string(list_transform(w[b:b + 39], lambda x: case when lower(regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')) = 'that' then '>>>' || x || '<<<' else x end), ' ') as snippet from b""")
+def keyword_snippet(f):
+    return f.documents.select("doc_id", ingest.snippet("text", ["that"]).alias("snippet"))
+
+
 # ---------------------------------------------------------------- streams
 
 
