@@ -12,7 +12,6 @@ Equal codes are one entry with its smallest ids, k + 1 at most: no more can be a
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,8 +40,10 @@ def segment(code: str, low: int, width: int) -> F.Column:
     return F.shiftrightunsigned(code, low).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def masks(width: int, r: int) -> list[int]:
-    return [sum(1 << i for i in c) for c in combinations(range(width), r)]
+def flipped(value: F.Column, width: int, r: int) -> F.Column:
+    """The value with each choice of r of its bits flipped; the choices are one constant array."""
+    masks = F.expr(f"filter(sequence(0L, {(1 << width) - 1}L), x -> bit_count(x) = {r})")
+    return F.transform(masks, lambda x: x.bitwiseXOR(value))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, segments: int | None = None) -> DataFrame:
@@ -74,7 +75,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS,
             r, a = divmod(s, m)
             if r <= pieces[a][1]:
                 value = segment("q", *pieces[a])
-                probes.append(state.select("q", "bound", F.lit(a).alias("seg"), F.explode(F.array(*[value.bitwiseXOR(F.lit(x).cast("long")) for x in masks(pieces[a][1], r)])).alias("val")))
+                probes.append(state.select("q", "bound", F.lit(a).alias("seg"), F.explode(flipped(value, pieces[a][1], r)).alias("val")))
         if not probes:
             continue
         probe = probes[0]
