@@ -82,7 +82,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS,
         for p in probes[1:]:
             probe = probe.unionByName(p)
         dist = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-        met = probe.alias("p").join(tables.alias("t"), (F.col("p.seg") == F.col("t.seg")) & (F.col("p.val") == F.col("t.val")) & (F.bit_count(F.col("q").bitwiseXOR(F.col("code"))) <= F.col("bound"))).select("q", "code", dist.alias("dist"), "ids")
+        met = probe.hint("merge").alias("p").join(tables.alias("t"), (F.col("p.seg") == F.col("t.seg")) & (F.col("p.val") == F.col("t.val")) & (F.bit_count(F.col("q").bitwiseXOR(F.col("code"))) <= F.col("bound"))).select("q", "code", dist.alias("dist"), "ids")
         met = met.unionByName(found) if found is not None else met
         # equal rows come of several segments; k + 1 codes are enough, as each holds an id
         new = met.groupBy("q", "code", "dist").agg(F.first("ids").alias("ids")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
