@@ -24,15 +24,18 @@ from pyspark.sql import functions as F
 from .common import arrow_map, bound_batches, column, materialise, release, texts
 from .components import components
 
-#: Documents that frequent n-grams are looked for in, how many of these make one frequent, and how many are kept at most.
+#: Documents and share of all (the larger counts) that frequent n-grams are looked for in, how many of these make one
+#: frequent, and how many are kept at most, most frequent first.
 #: These steer the cost only: the links are the same whatever is found.
-SAMPLE_DOCS, FREQUENT, MAX_FREQUENT = 10_000, 4, 100_000
+SAMPLE_DOCS, SAMPLE_SHARE, FREQUENT, MAX_FREQUENT = 10_000, 0.02, 3, 200_000
 #: Up to so many document ids are broadcast to fetch their texts; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shares that the partners of one node are split into.
 SALTS = 16
 #: Words kept with their hashes in a task; beyond, the store starts anew.
 KEEP = 400_000
+#: Bits of a set's bitmap, and leaders of a block that the second round tries.
+BITMAP, LEADERS = 256, 16
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,8 +82,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def frequent(docs: DataFrame, n: int, sample: int = SAMPLE_DOCS) -> np.ndarray:
     """Hashes of frequent n-grams of a bounded sample of documents, at most MAX_FREQUENT."""
     total = docs.count()
-    share = min(1_000_000, sample * 1_000_000 // max(total, 1))
-    some = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit("frequent")), F.lit(1_000_000)) < share).repartition(8, "doc_id")
+    share = min(1_000_000, int(max(sample / max(total, 1), SAMPLE_SHARE) * 1_000_000))
+    parts = max(8, int(total * share / 1_000_000 / sample * 8))
+    some = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit("frequent")), F.lit(1_000_000)) < share).repartition(parts, "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, own = Shingler(n), []
@@ -88,7 +92,7 @@ def frequent(docs: DataFrame, n: int, sample: int = SAMPLE_DOCS) -> np.ndarray:
             own += [shingle(t) for t in texts(batch)]
         if own:
             k, c = np.unique(np.concatenate(own), return_counts=True)
-            many = c >= 2
+            many = c >= 2  # in one of the parts, so that rare ones need no shuffle
             yield pa.record_batch([pa.array(_signed(k[many])), pa.array(c[many].astype(np.int64))], ["h", "n"])
 
     found = some.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
@@ -97,19 +101,24 @@ def frequent(docs: DataFrame, n: int, sample: int = SAMPLE_DOCS) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, common: np.ndarray, n: int, percent: int) -> DataFrame:
-    """doc_id, size, node and prefix.  A task gives a node's prefix once, however many copies it reads."""
+    """doc_id, size, node, bits and prefix.  A task gives a node's prefix once, however many copies it reads.
+
+    ``bits`` has the parity of the number of n-grams that fall on each of BITMAP places: two sets differ in at least as
+    many n-grams as their bitmaps differ in bits.
+    """
 
     def make():
         shingle, seen = Shingler(n), set()
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, ids, prefixes = [], [], []
+            sizes, ids, bits, prefixes = [], [], [], []
             for t, doc in zip(texts(batch), texts(batch, "doc_id"), strict=True):
                 s = shingle(t)
                 sizes.append(len(s))
                 if not len(s) or doc is None:
-                    ids.append(None), prefixes.append(None)
+                    ids.append(None), bits.append(None), prefixes.append(None)
                     continue
+                bits.append(np.packbits(np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).tobytes())
                 node = xxhash.xxh3_64_intdigest(s.tobytes())
                 node -= (node >> 63) << 64
                 ids.append(node)
@@ -124,11 +133,11 @@ def nodes(docs: DataFrame, common: np.ndarray, n: int, percent: int) -> DataFram
                     often = common[at] == s
                     s = np.concatenate([s[~often][:p], s[often][:p]])
                 prefixes.append(_signed(s[:p]))
-            return pa.record_batch([column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "size", "node", "prefix"])
+            return pa.record_batch([column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "size", "node", "bits", "prefix"])
 
         return f
 
-    return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, size long, node long, prefix array<long>")
+    return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, size long, node long, bits binary, prefix array<long>")
 
 
 def fits(a: str, b: str, percent: int) -> F.Column:
@@ -143,8 +152,64 @@ def enough(c: str, a: str, b: str, percent: int) -> F.Column:
     return (F.col(c) + F.greatest(rest(a), rest(b))) * (100 + percent) >= (F.col(a) + F.col(b)) * percent
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: whole overlaps, counted where the first one's set meets its partners, in SALTS shares."""
+def block_pairs(rows: DataFrame, leaders: int | None, percent: int) -> DataFrame:
+    """Pairs a, b (with a_size, b_size) of rows (block, node, size, comp, bits) that share a block and may link.
+
+    They are of different components, of sizes that fit, and their bitmaps leave room for enough overlap.  With
+    ``leaders`` only pairs with one of so many nodes of each block, by a seeded order.  A pair comes once a block.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ("block", "node", "size", "comp")
+
+    def pairs(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        at = np.arange(len(x["block"]))
+        begins = np.concatenate([[True], x["block"][1:] != x["block"][:-1]])
+        start = np.maximum.accumulate(np.where(begins, at, 0))
+        edge = np.concatenate([np.flatnonzero(begins)[1:], [len(at)]])
+        longest = int((edge - np.flatnonzero(begins)).max())
+        for k in range(leaders or longest):
+            # the k-th of the block with all after it; or every row with the one k + 1 before
+            i = start + k if leaders else at - k - 1
+            j = np.flatnonzero(i < at) if leaders else np.flatnonzero(i >= start)
+            i = i[j]
+            u, v = x["size"][i], x["size"][j]
+            ok = (x["comp"][i] != x["comp"][j]) & (np.minimum(u, v) * 100 >= np.maximum(u, v) * percent)
+            i, j = i[ok], j[ok]
+            far = np.bitwise_count(x["bits"][i] ^ x["bits"][j]).sum(1, dtype=np.int64)
+            ok = far * (100 + percent) <= (x["size"][i] + x["size"][j]) * (100 - percent)
+            i, j = i[ok], j[ok]
+            if len(i):
+                swap = x["node"][i] > x["node"][j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                yield pa.record_batch([pa.array(x[c][y]) for y in (i, j) for c in ("node", "size")], ["a", "a_size", "b", "b_size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = {c: column(batch, c).to_numpy(zero_copy_only=False) for c in names}
+            new["bits"] = np.frombuffer(b"".join(texts(batch, "bits")), np.uint64).reshape(batch.num_rows, -1)
+            x = {c: np.concatenate([held[c], new[c]]) for c in new} if held else new
+            cut = int(np.searchsorted(x["block"], x["block"][-1]))  # the last block may go on in the next batch
+            if cut:
+                yield from pairs({c: v[:cut] for c, v in x.items()})
+            held = {c: v[cut:] for c, v in x.items()}
+        if held:
+            yield from pairs(held)
+
+    dealt = rows.select(*names, "bits").withColumn("turn", F.xxhash64("node", F.lit("leader"))).repartition(n, "block").sortWithinPartitions("block", "turn", "node")
+    return dealt.mapInArrow(run, "a long, a_size long, b long, b_size long")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, named: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: whole overlaps, counted where the first one's set meets its partners, in SALTS shares.
+
+    Only the nodes of the pairs have their sets made again, each from its first document.
+    """
+    involved = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(named, "node").select(F.col("first").alias("doc_id")), "jaccard-involved")
+    ids = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
+    sets = materialise(packed(docs.join(ids, "doc_id"), words), "jaccard-sets")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     partners = pairs.join(sets.select(F.col("node").alias("b"), "packed"), "b").select("a", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"), "b", "packed")
     firsts = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")).distinct().join(sets.select(F.col("node").alias("a"), "packed"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "packed")
@@ -181,7 +246,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select("doc_id", "text")
     common = frequent(docs, n)
     node = materialise(nodes(docs, common, n, percent), "jaccard-nodes")
-    named = node.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("size").alias("size"))
+    named = node.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("size").alias("size"), F.first("bits").alias("bits"))
 
     entries = node.where("prefix is not null").select("node", "size", F.explode("prefix").alias("block"))
     # a block of sizes that all fit each other, and the block as a whole
@@ -192,28 +257,28 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     leader = F.first(F.struct("node", "size"))
     led = met.withColumn("in_band", leader.over(Window.partitionBy("block", "band").orderBy("node"))).withColumn("in_block", leader.over(wb))
-    stars = [led.select("node", "size", F.col(f"{k}.node").alias("a"), F.col(f"{k}.size").alias("a_size")).where(F.col("a") != F.col("node")).where(fits("size", "a_size", percent)).groupBy("node", "a").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("a", F.struct("c", "a")).alias("a")) for k in ("in_band", "in_block")]
+    stars = []
+    for k in ("in_band", "in_block"):
+        star = led.select("node", "size", F.col(f"{k}.node").alias("a"), F.col(f"{k}.size").alias("a_size")).where(F.col("a") != F.col("node")).where(fits("size", "a_size", percent))
+        star = star.groupBy("node", "size", "a", "a_size").agg(F.count("*").alias("c")).where(enough("c", "size", "a_size", percent))
+        stars.append(star.groupBy("node").agg(F.max_by("a", F.struct("c", "a")).alias("a")))
     first = materialise(stars[0].unionByName(stars[1]).select("a", F.col("node").alias("b")).distinct(), "jaccard-first")
-
-    involved = materialise(met.select("node").distinct().join(named, "node"), "jaccard-involved")
-    ids = involved.select(F.col("first").alias("doc_id"))
-    ids = F.broadcast(ids) if involved.count() <= BROADCAST_IDS else ids
-    sets = materialise(packed(docs.join(ids, "doc_id"), n), "jaccard-sets")
-    links = materialise(verify(first, sets, percent), "jaccard-links")
+    links = materialise(verify(first, docs, named, n, percent), "jaccard-links")
     comp = components(links)
 
-    # nodes of different components that share blocks
-    own = involved.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-    spread = met.join(own, "node").withColumn("one", F.min("comp").over(w)).withColumn("other", F.max("comp").over(w)).where("one <> other").select("block", "node", "size", "comp").distinct()
-    spread = materialise(spread, "jaccard-spread")
-    x, y = spread.toDF("block", "a", "a_size", "a_comp"), spread.toDF("block", "b", "b_size", "b_comp")
-    pairs = x.join(y, "block").where((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & fits("a_size", "b_size", percent))
-    pairs = pairs.groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("c")).where(enough("c", "a_size", "b_size", percent)).select("a", "b")
-    pairs = materialise(pairs, "jaccard-second")
-    if not pairs.isEmpty():
-        links = materialise(links.unionByName(verify(pairs, sets, percent)), "jaccard-links")
-        comp = components(links)
-    release(met, spread, sets)
+    # nodes of different components that share blocks: first some leaders of each block, then all that is left
+    for leaders in (LEADERS, None):
+        own = met.join(comp, "node", "left").select("block", "node", "size", F.coalesce("comp", "node").alias("comp"))
+        spread = own.withColumn("one", F.min("comp").over(w)).withColumn("other", F.max("comp").over(w)).where("one <> other").select("block", "node", "size", "comp").distinct()
+        pairs = block_pairs(spread.join(named.select("node", "bits"), "node"), leaders, percent).groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("c")).where(enough("c", "a_size", "b_size", percent))
+        if leaders:
+            pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))).where(F.col("r") <= leaders)
+        pairs = materialise(pairs.select("a", "b"), "jaccard-pairs")
+        if not pairs.isEmpty():
+            more = materialise(verify(pairs, docs, named, n, percent), "jaccard-links")
+            links = materialise(links.unionByName(more), "jaccard-links")
+            comp = components(links) if not more.isEmpty() else comp
+    release(met)
 
     label = named.join(comp, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp"))
     smallest = materialise(label, "jaccard-labels")
