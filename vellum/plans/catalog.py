@@ -362,7 +362,7 @@ def lint_crossref(f):
 
 
 _SCORE_SQL = f"""{_UNSOURCED_SQL}, {_CROSS_SQL}, inb as (select target, count(distinct path) as c from links where target <> lower(stem) group by target),
-scored as (select p.path, p.dir, crossref, unsourced, case coalesce(c, 0) when 0 then 1.0 when 1 then 0.66 when 2 then 0.33 else 0.0 end as orphan from wiki_page p join unsourced u on p.path = u.path join crossref x on p.path = x.path left join inb on lower(p.stem) = inb.target),
+scored as (select p.path, p.dir, crossref, unsourced, cast(case coalesce(c, 0) when 0 then 1.0 when 1 then 0.66 when 2 then 0.33 else 0.0 end as double) as orphan from wiki_page p join unsourced u on p.path = u.path join crossref x on p.path = x.path left join inb on lower(p.stem) = inb.target),
 sc as (select *, (crossref + orphan + unsourced) * 0.25 as composite from scored)"""
 
 
