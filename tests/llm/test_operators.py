@@ -205,6 +205,44 @@ def test_fuzzy_lines(spark, odd, empty):
     assert fuzzy_lines.dedup_lines(empty).count() == 0
 
 
+def whole_lines(rows):
+    """Row numbers and lines that go where edit similarity alone links lines of MIN_WORDS words, and equal forms are one."""
+    where = defaultdict(set)
+    for r, (i, t) in enumerate(rows):
+        for k, line in enumerate((t or "").split("\n")):
+            if norm := fuzzy_lines.normal(line):
+                where[norm].add(((1 << 63) if i is None else i, k, r))
+    norms = [n.split() for n in where]
+    links = [(i, j) for i in range(len(norms)) for j in range(i) if min(len(norms[i]), len(norms[j])) >= fuzzy_lines.MIN_WORDS and fuzzy_lines.similar(norms[i], norms[j])]
+    group = list(range(len(norms)))
+    for i, j in links:
+        group = [group[j] if g == group[i] else g for g in group]
+    found = defaultdict(set)
+    for g, at in zip(group, where.values(), strict=True):
+        found[g] |= at
+    return {(r, k) for at in found.values() for _, k, r in sorted(at)[1:]}
+
+
+def changed(r, words, share):
+    """The words with a share of them changed, dropped or followed by a new one."""
+    out = []
+    for w in words:
+        kind = r.randrange(3) if r.random() < share else None
+        out += {None: [w], 0: ["n%d" % r.randrange(10**6)], 1: [], 2: [w, "n%d" % r.randrange(10**6)]}[kind]
+    return out
+
+
+def test_fuzzy_lines_link_by_edit_similarity_alone(spark):
+    r = random.Random(11)
+    lines = [[r.choice(VOCAB) for _ in range(n)] for n in (5, 6, 8, 11, 16, 20, 25, 40, 80, 200) for _ in range(8)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(lines)]
+    rows += [(1000 + i, " ".join(changed(r, x, s))) for i, (x, s) in enumerate((x, s) for x in lines for s in (0.04, 0.1, 0.2))]
+    rows = [(i, t) for i, t in rows if len(t.split()) >= fuzzy_lines.MIN_WORDS]
+    want = {(rows[n][0], k) for n, k in whole_lines(rows)}
+    got = {(x["doc_id"], k) for x in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() for k in x["dropped"]}
+    assert len(want) > 100 and got == want
+
+
 # ---------------------------------------------------------------- 4
 
 
