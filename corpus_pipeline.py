@@ -6,7 +6,7 @@ document of each group of near copies, the mix repeats or drops documents by sou
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.llm import fuzzy_lines, jaccard_join, language_id, source_mix, tree_bpe
@@ -41,14 +41,32 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return named.select(COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()).select(COLUMNS))
 
 
+def copies(taken: DataFrame) -> DataFrame:
+    """doc_id, source, times and part (of a further copy; null ids only), from doc_id, source, size, source_size and taken.
+
+    In seeded shards of a source, by size, the parts of copies are summed, and where the sum passes a half the document
+    has one copy more; neighbours are of like size, so a shard's words are off by about one document at most.
+    """
+    shards = F.ceil(F.col("source_size") / source_mix.SHARD_WORDS)
+    shard = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.greatest(shards, F.lit(1)))
+    part = F.when(F.col("doc_id").isNotNull(), F.expr("(taken % size) / size")).otherwise(0.0)
+    w = Window.partitionBy("source", "shard").orderBy("size", F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    summed = taken.withColumn("shard", shard).withColumn("part", part).withColumn("upto", F.sum("part").over(w))
+    more = F.when(F.col("part") > 0, F.floor(F.col("upto") + 0.5) - F.floor(F.col("upto") - F.col("part") + 0.5)).otherwise(0)
+    alone = F.when(F.col("doc_id").isNull(), F.expr("(taken % size) / size")).otherwise(0.0)
+    return summed.select("doc_id", "source", (F.expr("taken div size") + F.least(more, F.lit(1))).cast("int").alias("times"), alone.alias("part"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number of times."""
+    """Each document a whole number of times, so that the words of its source come near what the mix takes of it."""
     docs = docs.select(COLUMNS)
-    taken = source_mix.mix(docs).groupBy("doc_id", "source").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
-    taken = taken.withColumn("times", F.expr("cast((2 * taken + size) div (2 * size) as int)")).where("size > 0 and times > 0")
-    keep = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "times")
+    taken = source_mix.mix(docs).groupBy("doc_id", "source").agg(F.sum("size").alias("size"), F.first("source_size").alias("source_size"), F.sum("taken").alias("taken")).where("size > 0")
+    keep = copies(taken).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "times", "part").where("times > 0 or part > 0")
     found = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
+    # rows without an id are one to the mix: each has its further copy by a draw of its own
+    drawn = F.pmod(F.xxhash64("text", F.lit("copies")), F.lit(1 << 20)) < F.col("part") * (1 << 20)
+    times = F.col("times") + drawn.cast("int")
+    return found.withColumn("times", times).where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages, each against what it should do to its own input."""
 
+import random
+
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from test_operators import brute_jaccard, brute_lines, odd_rows, DOCS
 from tokenizers import Tokenizer
 
 import corpus_pipeline as p
+from vellum.llm import source_mix
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +52,13 @@ def test_stages_on_odd_and_empty_tables(spark):
     assert {i for i, _ in rows_of(p.dedup_documents(spark, docs, SF))} >= {0, 3, 4, None}
     assert 2 not in {i for i, _ in rows_of(p.dedup_documents(spark, docs, SF))}
     assert not {3, 4, 5, 14} & {i for i, _ in rows_of(p.identify(spark, docs, SF))}
+
+
+def test_every_source_comes_near_its_target(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(["word"] * r.randint(40, 600)), "en", "abcdefg"[min(r.randrange(12), 6)], 1) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    target = {x["source"]: x["target"] for x in source_mix.mix(docs).select("source", "target").distinct().collect()}
+    words = F.sum(F.size(F.split("text", " "))).alias("words")
+    got = {x["source"]: x["words"] for x in p.mix_sources(spark, docs, SF).groupBy("source").agg(words).collect()}
+    assert set(got) == set(target) and all(abs(got[s] - target[s]) <= 0.02 * target[s] + 600 for s in target)
