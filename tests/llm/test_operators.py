@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -351,6 +352,13 @@ def test_search_is_exact(spark, segments):
     assert mih_search.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_segments_stay_narrow_at_any_size(spark):
+    assert all(w <= 16 for e in range(45) for _, w in mih_search.cuts(64, mih_search.count(1 << e)))
+    for width, r in ((16, 2), (22, 2), (32, 0), (32, 2), (33, 3)):
+        got = spark.range(1).select(mih_search.flipped(F.lit(5).cast("long"), width, r).alias("x")).first()["x"]
+        assert sorted(got) == sorted(5 ^ sum(1 << b for b in c) for c in itertools.combinations(range(width), r))
+
+
 def test_search_of_fewer_rows_than_k(spark):
     df = spark.createDataFrame([(i, [float((-1) ** (i * j % 3)) for j in range(64)]) for i in (0, 1, 2, 100)], "vec_id long, embedding array<double>")
     assert mih_search.top_k(df, df.where("vec_id % 100 = 0")).groupBy("query_id").count().collect() == [(0, 3), (100, 3)] or mih_search.top_k(df, df.where("vec_id % 100 = 0")).count() == 6

@@ -21,6 +21,8 @@ from .common import materialise, release
 BITS, K, SALTS = 64, 10, 64
 #: Radii whose segments are looked up in one go; later ones take a segment at a time.
 TOGETHER = 3
+#: Bits of a segment at most: its flips are made of all numbers of so many bits, and C(16, 8) of them are few.
+WIDEST = 16
 
 
 def with_code(vectors: DataFrame, bits: int = BITS) -> DataFrame:
@@ -40,10 +42,23 @@ def segment(code: str, low: int, width: int) -> F.Column:
     return F.shiftrightunsigned(code, low).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def count(n: int, bits: int = BITS) -> int:
+    """Segments for n codes: about log2(n) bits each, but no more than WIDEST."""
+    return max(2, -(-bits // WIDEST), min(8, round(bits / max(math.log2(max(n, 2)), 1))))
+
+
+def masks(width: int, r: int) -> str:
+    """SQL of the array of all numbers of so many bits of which r are set; wide ones are put together of two halves."""
+    if width <= WIDEST:
+        return f"filter(sequence(0L, {(1 << width) - 1}L), x -> bit_count(x) = {r})"
+    low, high = width // 2, width - width // 2
+    parts = [f"flatten(transform({masks(low, i)}, a -> transform({masks(high, r - i)}, b -> a | shiftleft(b, {low}))))" for i in range(max(0, r - high), min(low, r) + 1)]
+    return f"concat({', '.join(parts)})"
+
+
 def flipped(value: F.Column, width: int, r: int) -> F.Column:
     """The value with each choice of r of its bits flipped; the choices are one constant array."""
-    masks = F.expr(f"filter(sequence(0L, {(1 << width) - 1}L), x -> bit_count(x) = {r})")
-    return F.transform(masks, lambda x: x.bitwiseXOR(value))
+    return F.transform(F.expr(masks(width, r)), lambda x: x.bitwiseXOR(value))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, segments: int | None = None) -> DataFrame:
@@ -60,7 +75,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS,
     index = materialise(few.groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "code-index")
     n = index.count()
     held = index.agg(F.sum(F.size("ids"))).first()[0] or 0
-    m = segments or max(2, min(8, round(bits / max(math.log2(max(n, 2)), 1))))
+    m = segments or count(n, bits)
     pieces = cuts(bits, m)
     table = F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), segment("code", *c).alias("val")) for i, c in enumerate(pieces)])).alias("s")
     tables = materialise(index.select("code", "ids", table).select("s.seg", "s.val", "code", "ids"), "code-tables")
