@@ -244,6 +244,13 @@ def test_fuzzy_lines_link_by_edit_similarity_alone(spark):
     assert len(want) > 100 and got == want
 
 
+def test_short_and_unspaced_lines(spark):
+    han = "東京都の天気は晴れで最高気温は二十度です"
+    rows = [(1, "All rights reserved\n\nnext"), (2, "all rights reserved!\n\nother one"), (3, han), (4, han.replace("晴", "雨")), (5, "これは別の文章で似ていません"), (6, "Other, one\nall rights")]
+    got = {r["doc_id"]: r["dropped"] for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0], 3: [], 4: [0], 5: [], 6: [0]}
+
+
 # ---------------------------------------------------------------- 4
 
 
