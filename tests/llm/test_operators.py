@@ -506,11 +506,26 @@ def test_jaccard_join(spark, odd, empty):
     assert jaccard_join.jaccard_groups(empty).count() == 0
 
 
-def test_frequent_order_changes_nothing(spark, monkeypatch):
-    rows = near_copies()
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_groups(docs).collect()} == brute_jaccard(rows)
+def test_jaccard_join_of_small_chunks_and_hot_lists(spark, monkeypatch):
+    rows = near_copies() + near_copies()
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for chunk, hot in ((400, 1), (4_000, 3), (10**6, 2)):
+        monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+        monkeypatch.setattr(jaccard_join, "HOT", hot)
+        monkeypatch.setattr(jaccard_join, "BUCKET", 500)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_groups(docs).collect()} == brute_jaccard(rows)
+
+
+def test_prefixes_hold_the_rarest_shared_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK", 300)
+    monkeypatch.setattr(jaccard_join, "HOT", 2)
+    passage = prose(20)
+    rows = [(i, f"{prose(100)} {passage}") for i in range(12)] + [(20 + i, f"{passage} {prose(2)}") for i in range(3)]
+    got = {r["doc_id"]: r for r in jaccard_join.incidence(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 5, 80).collect()}
+    # long documents have enough n-grams of their own; short ones must enter by the passage
+    assert all(len(got[i]["prefix"]) == 0 for i in range(12)) and all(len(got[20 + i]["prefix"]) > 0 for i in range(3))
+    assert all(got[i]["size"] == len({tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)}) for i, t in rows)
 
 
 def test_components_of_chains_and_hubs(spark):

@@ -1,10 +1,11 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
-Documents of equal n-gram sets are one node.  A node enters the blocks of its prefix only: with so many n-grams missing,
-no overlap could reach the threshold.  The order of n-grams is by hash, but those found to be frequent come last, so
-common passages rarely make blocks; any order gives the same links.  Within blocks the product accumulates, for each
-pair, how many n-grams of their prefixes they share; pairs below what their sizes demand are discarded, and the rest get
-their whole overlap counted.
+Documents of equal n-gram sets are one node.  The incidence is cut into blocks of documents by n-grams, and these give
+how many documents hold each n-gram.  A node enters the blocks of its prefix only, its rarest n-grams: with so many
+missing, no overlap could reach the threshold.  So n-grams of one document make no entry, and passages that documents
+share make none in documents that hold enough else.  Within blocks the product accumulates, for each pair, how many
+n-grams of their prefixes they share; pairs below what their sizes demand are discarded, and the rest get their whole
+overlap counted.
 
 A dense group would fill a block with all its pairs.  So the product runs twice: first each node meets only the leaders
 of its blocks, and what links is joined into components; then only nodes of different components meet.  No link between
@@ -13,21 +14,23 @@ components is lost, and members of one component need no second proof.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bound_batches, column, materialise, release, texts
 from .components import components
 
-#: Documents and share of all (the larger counts) that frequent n-grams are looked for in, how many of these make one
-#: frequent, and how many are kept at most, most frequent first.
-#: These steer the cost only: the links are the same whatever is found.
-SAMPLE_DOCS, SAMPLE_SHARE, FREQUENT, MAX_FREQUENT = 10_000, 0.02, 3, 200_000
+#: Incidences of a bucket and of a chunk, about, and documents of a chunk beyond which an n-gram's list stays there.
+BUCKET, CHUNK, HOT = 1_000_000, 4_000_000, 16
+#: Kinds of rows between chunks and buckets, in the order in which a chunk reads them.
+DOCS, LISTS, COUNTS, SLICE = range(4)
 #: Up to so many document ids are broadcast to fetch their texts; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shares that the partners of one node are split into.
@@ -79,65 +82,178 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def frequent(docs: DataFrame, n: int, sample: int = SAMPLE_DOCS) -> np.ndarray:
-    """Hashes of frequent n-grams of a bounded sample of documents, at most MAX_FREQUENT."""
-    total = docs.count()
-    share = min(1_000_000, int(max(sample / max(total, 1), SAMPLE_SHARE) * 1_000_000))
-    parts = max(8, int(total * share / 1_000_000 / sample * 8))
-    some = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit("frequent")), F.lit(1_000_000)) < share).repartition(parts, "doc_id")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, own = Shingler(n), []
-        for batch in batches:
-            own += [shingle(t) for t in texts(batch)]
-        if own:
-            k, c = np.unique(np.concatenate(own), return_counts=True)
-            many = c >= 2  # in one of the parts, so that rare ones need no shuffle
-            yield pa.record_batch([pa.array(_signed(k[many])), pa.array(c[many].astype(np.int64))], ["h", "n"])
-
-    found = some.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    rows = found.orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).select("h").toPandas()
-    return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
+def incidence(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, size, node, bits and prefix of every document, the prefix by how many documents hold an n-gram.
 
-
-def nodes(docs: DataFrame, common: np.ndarray, n: int, percent: int) -> DataFrame:
-    """doc_id, size, node, bits and prefix.  A task gives a node's prefix once, however many copies it reads.
+    The documents of a task form chunks; a chunk's incidence, sorted by n-gram, is cut into buckets of the hash range.  A
+    bucket counts the documents of each of its n-grams over all chunks and answers each chunk with those that others hold
+    too; from the answers a chunk makes its prefixes, rarest n-grams first.  N-grams of one document are no one's partner,
+    so they fill places of a prefix and are left out of it.  What more than ``HOT`` documents of a chunk hold stays there
+    as a list, and its bucket gets the count alone.
 
     ``bits`` has the parity of the number of n-grams that fall on each of BITMAP places: two sets differ in at least as
-    many n-grams as their bitmaps differ in bits.
+    many n-grams as their bitmaps differ in bits.  Equal sets of a chunk have one prefix, that of the first.
     """
-
-    def make():
-        shingle, seen = Shingler(n), set()
-
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, ids, bits, prefixes = [], [], [], []
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    cut = max(3, min(20, math.ceil(math.log2(max(chars / 6 / BUCKET, 1)))))
+    chunk_size, spread = CHUNK if cut < 16 else max(CHUNK, 32 << cut), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = "kind int, deal long, chunk long, bucket int, a binary, b binary, c binary, d binary, e binary"
+    names = [x.split()[0] for x in kinds.split(", ")]
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5)
+        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, part, turn = Shingler(n), TaskContext.get().partitionId(), 0
+        sets, held, place, seen = [], [], 0, {}  # held: doc_id, node, size, bitmap, place of each document
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal sets, held, place, seen, turn
+            chunk, turn = (part << 32) + turn, turn + 1
+            ids, node, size, bits, at = zip(*held, strict=True)
+            known = np.array([x is not None for x in ids], bool)
+            ids = np.array([x or 0 for x in ids], np.int64)
+            yield rows([(DOCS, chunk, chunk, -1, ids.tobytes(), known.tobytes(), np.array(node, np.uint64).tobytes() + np.array(size, np.int64).tobytes(), b"".join(bits), np.array(at, np.int64).tobytes())])
+            if sets:
+                v = np.sort(np.concatenate(sets))
+                sets = []
+                edge = np.searchsorted(v, np.arange(1 << cut, dtype=np.uint64) << np.uint64(64 - cut)).tolist() + [len(v)]
+                key, doc = ((v << np.uint64(cut)) >> np.uint64(32)).astype(np.uint32), (v & np.uint64(0xFFFF)).astype(np.uint16)
+                if cut > 16:  # the lowest bits of such keys would be those of places
+                    key &= np.uint32(0xFFFFFFFF << (cut - 16) & 0xFFFFFFFF)
+                out, size = [], 0
+                for bucket, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                    if x == y:
+                        continue
+                    k, d = key[x:y], doc[x:y]
+                    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+                    count = np.diff(np.append(begin, len(k)))
+                    if count.max() > HOT:
+                        hot = np.repeat(count > HOT, count)
+                        lists = (k[begin[count > HOT]].tobytes(), count[count > HOT].astype(np.uint32).tobytes())
+                        out.append((LISTS, chunk, chunk, bucket, *lists, d[hot].tobytes(), None, None))
+                        out.append((COUNTS, bucket, chunk, bucket, *lists, None, None, None))
+                        k, d = k[~hot], d[~hot]
+                    out.append((SLICE, bucket, chunk, bucket, k.tobytes(), d.tobytes(), None, None, None))
+                    size += 6 * (y - x)
+                    if size > 8_000_000:
+                        yield rows(out)
+                        out, size = [], 0
+                if out:
+                    yield rows(out)
+            sets, held, place, seen = [], [], 0, {}
+
+        count = 0
+        for batch in batches:
             for t, doc in zip(texts(batch), texts(batch, "doc_id"), strict=True):
                 s = shingle(t)
-                sizes.append(len(s))
                 if not len(s) or doc is None:
-                    ids.append(None), bits.append(None), prefixes.append(None)
+                    held.append((doc, 0, len(s), bytes(BITMAP // 8), -1))
+                else:
+                    node = xxhash.xxh3_64_intdigest(s.tobytes())
+                    bits = np.packbits(np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).tobytes()
+                    held.append((doc, node, len(s), bits, -1 if node in seen else place))
+                    if node not in seen:
+                        seen[node] = place
+                        sets.append((s >> np.uint64(16) << np.uint64(16)) | np.uint64(place))
+                        place, count = place + 1, count + len(s)
+                if count >= chunk_size or place >= 65_535 or len(held) >= 200_000:
+                    yield from flush()
+                    count = 0
+        if held:
+            yield from flush()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            key = np.concatenate([np.frombuffer(x[4], "<u4") for x in held])
+            weight = np.concatenate([np.frombuffer(x[5], "<u4") if x[0] == COUNTS else np.ones(len(x[4]) // 4, np.uint32) for x in held])
+            by = np.argsort(key, kind="stable")
+            begin = np.flatnonzero(np.concatenate([[True], key[by[1:]] != key[by[:-1]]])) if len(key) else np.zeros(0, np.int64)
+            total = np.add.reduceat(weight[by], begin, dtype=np.int64) if len(key) else begin
+            df = np.empty(len(key), np.int64)
+            df[by] = np.repeat(total, np.diff(np.append(begin, len(key))))
+            out, at = [], 0
+            for kind, _, chunk, _, keys, places, *_ in held:
+                mine = slice(at, at := at + len(keys) // 4)
+                many = df[mine] >= 2
+                if many.any():
+                    found = np.frombuffer(keys, "<u4")[many].tobytes(), df[mine][many].astype("<u4").tobytes()
+                    out.append((kind, chunk, chunk, bucket, *found, np.frombuffer(places, "<u2")[many].tobytes() if kind == SLICE else None, None, None))
+            if out:
+                yield rows(out)
+
+        for batch in batches:
+            forward = []
+            for row in zip(*(texts(batch, c) for c in names), strict=True):
+                if row[0] in (DOCS, LISTS):
+                    forward.append(row)
                     continue
-                bits.append(np.packbits(np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).tobytes())
-                node = xxhash.xxh3_64_intdigest(s.tobytes())
-                node -= (node >> 63) << 64
-                ids.append(node)
-                if node in seen:
-                    prefixes.append(None)
+                if row[3] != bucket:
+                    if held:
+                        yield from done()
+                    bucket, held = row[3], []
+                held.append(row)
+            if forward:
+                yield rows(forward)
+        if held:
+            yield from done()
+
+    def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            (_, _, _, _, a, b, c, bits, e), *more = held
+            ids, known, at = np.frombuffer(a, "<i8"), np.frombuffer(b, bool), np.frombuffer(e, "<i8")
+            node, size = np.frombuffer(c[: 8 * len(ids)], "<i8"), np.frombuffer(c[8 * len(ids) :], "<i8")
+            keys, dfs, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            lists = {x[3]: x for x in more if x[0] == LISTS}
+            for kind, _, _, bucket, k, df, d, *_ in more:
+                if kind == LISTS:
                     continue
-                if len(seen) < 2_000_000:
-                    seen.add(node)
-                p = len(s) - need(len(s), percent) + 1
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    often = common[at] == s
-                    s = np.concatenate([s[~often][:p], s[often][:p]])
-                prefixes.append(_signed(s[:p]))
-            return pa.record_batch([column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "size", "node", "bits", "prefix"])
+                k, df = np.frombuffer(k, "<u4"), np.frombuffer(df, "<u4").astype(np.int64)
+                if kind == COUNTS:
+                    own = lists[bucket]
+                    k, count, d = (np.frombuffer(own[i], t) for i, t in ((4, "<u4"), (5, "<u4"), (6, "<u2")))
+                    k, df = np.repeat(k, count), np.repeat(df, count)
+                else:
+                    d = np.frombuffer(d, "<u2")
+                keys.append(k.astype(np.int64) + (bucket << 32)), dfs.append(df), places.append(d.astype(np.int64))
+            key, df, place = map(np.concatenate, (keys, dfs, places))
+            by = np.lexsort((key, df, place))
+            key, place = key[by], place[by]
+            first = np.flatnonzero(at >= 0)  # documents with a set of their own, by place
+            begin, end = np.searchsorted(place, np.arange(len(first))), np.searchsorted(place, np.arange(len(first)), side="right")
+            alone = size[first] - (end - begin)
+            # of the prefix, what is left beside the n-grams of one document
+            take = np.clip(size[first] - -(-size[first] * percent // 100) + 1 - alone, 0, end - begin)
+            prefix = [None] * len(ids)
+            for i, x, k in zip(first.tolist(), begin.tolist(), take.tolist(), strict=True):
+                prefix[i] = key[x : x + k]
+            some, wide = known & (size > 0), BITMAP // 8
+            for x in range(0, len(ids), 5000):
+                y = min(x + 5000, len(ids))
+                yield pa.record_batch([
+                    pa.array(ids[x:y], mask=~known[x:y]), pa.array(size[x:y]), pa.array(node[x:y], mask=~some[x:y]),
+                    pa.array([bits[wide * i : wide * i + wide] if some[i] else None for i in range(x, y)], pa.binary()), pa.array(prefix[x:y], pa.list_(pa.int64())),
+                ], ["doc_id", "size", "node", "bits", "prefix"])
 
-        return f
+        for batch in batches:
+            for row in zip(*(texts(batch, c) for c in names), strict=True):
+                if row[2] != chunk:
+                    if held:
+                        yield from done()
+                    chunk, held = row[2], []
+                held.append(row)
+        if held:
+            yield from done()
 
-    return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, size long, node long, bits binary, prefix array<long>")
+    slices = docs.select("doc_id", "text").mapInArrow(chunked, kinds)
+    # chunks go by their own numbers, which begin beyond those of buckets
+    answers = slices.repartition(spread, "deal", F.col("kind").isin(DOCS, LISTS)).sortWithinPartitions("bucket", "chunk", "kind").mapInArrow(counted, kinds)
+    return answers.repartition(spread, "chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(prefixed, "doc_id long, size long, node long, bits binary, prefix array<long>")
 
 
 def fits(a: str, b: str, percent: int) -> F.Column:
@@ -244,8 +360,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     docs = docs.select("doc_id", "text")
-    common = frequent(docs, n)
-    node = materialise(nodes(docs, common, n, percent), "jaccard-nodes")
+    node = materialise(incidence(docs, n, percent), "jaccard-nodes")
     named = node.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("size").alias("size"), F.first("bits").alias("bits"))
 
     entries = node.where("prefix is not null").select("node", "size", F.explode("prefix").alias("block"))
