@@ -145,47 +145,11 @@ def edit_ratio(a, b):
     return 1 - prev[-1] / max(len(a) + len(b), 1)
 
 
-def test_similarity_and_simhash():
+def test_similarity():
     for _ in range(200):
         a = [rng.choice("abcde") for _ in range(rng.randint(0, 25))]
         b = [c for c in a if rng.random() > 0.15] + [rng.choice("xyz")] * rng.randint(0, 3)
         assert fuzzy_lines.similar(a, b, 0.8) == (edit_ratio(a, b) >= 0.8 - 1e-9)
-    lines = [[b"%d" % rng.randrange(10**6) for _ in range(n)] for n in (5, 254, 255, 256, 700)]
-    import xxhash
-
-    for words, got in zip(lines, fuzzy_lines.SimHash()(lines).view(np.uint64).tolist()):
-        h = [xxhash.xxh3_64_intdigest(w) for w in set(words)]
-        assert got == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def brute_lines(rows):
-    where = defaultdict(set)
-    for i, t in rows:
-        for k, line in enumerate((t or "").split("\n")):
-            norm = fuzzy_lines.normal(line)
-            if norm.count(b" ") >= fuzzy_lines.MIN_WORDS - 1:
-                where[norm].add(((1 << 63) if i is None else i, k, i))
-    norms = list(where)
-    sims = fuzzy_lines.SimHash()([n.split() for n in norms]).view(np.uint64).tolist()
-    parent = list(range(len(norms)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(norms)):
-        for j in range(i):
-            if bin(sims[i] ^ sims[j]).count("1") <= 3 and edit_ratio(norms[i].split(), norms[j].split()) >= 0.8:
-                parent[find(i)] = find(j)
-    groups = defaultdict(set)
-    for i, n in enumerate(norms):
-        groups[find(i)] |= where[n]
-    out = defaultdict(set)
-    for g in groups.values():
-        for _, k, i in sorted(g, key=lambda x: x[:2])[1:]:
-            out[i].add(k)
-    return out
 
 
 def test_fuzzy_lines(spark, odd, empty):
@@ -193,7 +157,9 @@ def test_fuzzy_lines(spark, odd, empty):
     rows = [(i, "\n".join([" ".join([*base[:i], "w%d" % i, *base[i + 1 :]]), prose(6), prose(3)])) for i in range(25)]
     rows += [(100 + i, prose(12) + "\n" + prose(2) + "\n" + " ".join(base)) for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    want = brute_lines(rows)
+    want = defaultdict(set)
+    for r, k in whole_lines(rows):
+        want[rows[r][0]].add(k)
     got = {r["doc_id"]: r for r in fuzzy_lines.dedup_lines(docs).collect()}
     assert {i: set(r["dropped"]) for i, r in got.items()} == {i: want[i] for i, _ in rows}
     for i, t in rows:
@@ -244,6 +210,31 @@ def test_fuzzy_lines_link_by_edit_similarity_alone(spark):
     assert len(want) > 100 and got == want
 
 
+def test_fuzzy_lines_of_words_of_all_frequencies(spark):
+    r = random.Random(5)
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(5))  # noqa: E731  digits would all be alike
+    words = [name(i) for i in range(3000)]
+    odds = [1 / (i + 1) for i in range(3000)]
+    rows = []
+    for i, n in enumerate(r.choices(range(12, 120), k=150)):
+        base = r.choices(words, odds, k=n)
+        other = list(base)
+        for k in r.sample(range(n), int(0.2 * n)):
+            other[k] = r.choices(words, odds)[0] if i % 2 else name(r.randrange(26**5))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    pairs = [i for i in range(150) if fuzzy_lines.similar(rows[2 * i][1].split(), rows[2 * i + 1][1].split())]
+    got = {x["doc_id"] for x in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x["dropped"]}
+    assert len(pairs) > 140 and sum(2 * i + 1 in got for i in pairs) >= 0.95 * len(pairs)
+    assert got <= {rows[n][0] for n, _ in whole_lines(rows)}
+
+
+def test_repeated_rows_keep_each_line_once(spark):
+    line, other = "one line of six plain words", "another line that stands here alone"
+    rows = [(1, f"{line}\n--\n{other}")] * 3 + [(2, line)] + [(None, other + " too")] * 2
+    got = [r["text"] for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got) == sorted([f"{line}\n--\n{other}", "--", "--", "", "", ""])
+
+
 def test_short_and_unspaced_lines(spark):
     han = "東京都の天気は晴れで最高気温は二十度です"
     rows = [(1, "All rights reserved\n\nnext"), (2, "all rights reserved!\n\nother one"), (3, han), (4, han.replace("晴", "雨")), (5, "これは別の文章で似ていません"), (6, "Other, one\nall rights")]

@@ -15,7 +15,7 @@ components is lost, and members of one component need no second proof.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ SALTS = 16
 #: Words kept with their hashes in a task; beyond, the store starts anew.
 KEEP = 400_000
 #: Bits of a set's bitmap, and leaders of a block that the second round tries.
-BITMAP, LEADERS = 256, 16
+BITMAP, LEADERS = 1024, 16
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -261,6 +261,16 @@ def fits(a: str, b: str, percent: int) -> F.Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def alike(percent: int) -> Callable[..., np.ndarray]:
+    """Sizes that fit, and bitmaps that leave room for enough overlap."""
+
+    def f(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        far = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        return (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (far * (100 + percent) <= (n + m) * (100 - percent))
+
+    return f
+
+
 def enough(c: str, a: str, b: str, percent: int) -> F.Column:
     """Could a pair of sizes a and b with c common n-grams in their prefixes link?  Beyond the prefixes a set has
     ``need`` - 1 n-grams, and overlap * (100 + percent) must reach percent * (a + b)."""
@@ -268,10 +278,10 @@ def enough(c: str, a: str, b: str, percent: int) -> F.Column:
     return (F.col(c) + F.greatest(rest(a), rest(b))) * (100 + percent) >= (F.col(a) + F.col(b)) * percent
 
 
-def block_pairs(rows: DataFrame, leaders: int | None, percent: int) -> DataFrame:
+def block_pairs(rows: DataFrame, leaders: int | None, fit: Callable[..., np.ndarray]) -> DataFrame:
     """Pairs a, b (with a_size, b_size) of rows (block, node, size, comp, bits) that share a block and may link.
 
-    They are of different components, of sizes that fit, and their bitmaps leave room for enough overlap.  With
+    They are of different components, and ``fit`` says of arrays of sizes and bitmaps which pairs may link.  With
     ``leaders`` only pairs with one of so many nodes of each block, by a seeded order.  A pair comes once a block.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -288,11 +298,9 @@ def block_pairs(rows: DataFrame, leaders: int | None, percent: int) -> DataFrame
             i = start + k if leaders else at - k - 1
             j = np.flatnonzero(i < at) if leaders else np.flatnonzero(i >= start)
             i = i[j]
-            u, v = x["size"][i], x["size"][j]
-            ok = (x["comp"][i] != x["comp"][j]) & (np.minimum(u, v) * 100 >= np.maximum(u, v) * percent)
+            ok = x["comp"][i] != x["comp"][j]
             i, j = i[ok], j[ok]
-            far = np.bitwise_count(x["bits"][i] ^ x["bits"][j]).sum(1, dtype=np.int64)
-            ok = far * (100 + percent) <= (x["size"][i] + x["size"][j]) * (100 - percent)
+            ok = fit(x["size"][i], x["size"][j], x["bits"][i], x["bits"][j])
             i, j = i[ok], j[ok]
             if len(i):
                 swap = x["node"][i] > x["node"][j]
@@ -385,7 +393,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     for leaders in (LEADERS, None):
         own = met.join(comp, "node", "left").select("block", "node", "size", F.coalesce("comp", "node").alias("comp"))
         spread = own.withColumn("one", F.min("comp").over(w)).withColumn("other", F.max("comp").over(w)).where("one <> other").select("block", "node", "size", "comp").distinct()
-        pairs = block_pairs(spread.join(named.select("node", "bits"), "node"), leaders, percent).groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("c")).where(enough("c", "a_size", "b_size", percent))
+        pairs = block_pairs(spread.join(named.select("node", "bits"), "node"), leaders, alike(percent)).groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("c")).where(enough("c", "a_size", "b_size", percent))
         if leaders:
             pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))).where(F.col("r") <= leaders)
         pairs = materialise(pairs.select("a", "b"), "jaccard-pairs")
