@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -55,6 +57,16 @@ def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
             spark.conf.set(key, str(most))
 
 
+def trim() -> None:
+    """Give back what a task's batches left, as workers live on to run other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """Map Arrow batches; ``make`` runs once in each task and returns the function that maps one batch."""
     bound_batches(df.sparkSession)
@@ -66,6 +78,8 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                 f = f or make()
                 if (out := f(batch)) is not None and out.num_rows:
                     yield out
+        f = batch = out = None
+        trim()
 
     return df.mapInArrow(run, schema)
 

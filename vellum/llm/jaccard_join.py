@@ -28,7 +28,7 @@ from .common import arrow_map, bound_batches, column, materialise, release, text
 from .components import components
 
 #: Incidences of a bucket and of a chunk, about, and documents of a chunk beyond which an n-gram's list stays there.
-BUCKET, CHUNK, HOT = 1_000_000, 4_000_000, 16
+BUCKET, CHUNK, HOT = 1_000_000, 3_000_000, 16
 #: Kinds of rows between chunks and buckets, in the order in which a chunk reads them.
 DOCS, LISTS, COUNTS, SLICE = range(4)
 #: Up to so many document ids are broadcast to fetch their texts; beyond, texts are joined by a shuffle.
@@ -36,7 +36,7 @@ BROADCAST_IDS = 1_000_000
 #: Shares that the partners of one node are split into.
 SALTS = 16
 #: Words kept with their hashes in a task; beyond, the store starts anew.
-KEEP = 400_000
+KEEP = 200_000
 #: Bits of a set's bitmap, and leaders of a block that the second round tries.
 BITMAP, LEADERS = 1024, 16
 _M = np.uint64(0x9E3779B97F4A7C15)
