@@ -15,7 +15,9 @@ def test_frontmatter(spark):
     done = frontmatter.edit(text, "sources", "[z]")
     assert frontmatter.parse(done)[0]["sources"] == ["z"] and frontmatter.edit(done, "sources", "[z]") == done
     assert "sources" not in frontmatter.parse(frontmatter.edit(text, "sources", None))[0]
-    assert frontmatter.parse(frontmatter.edit("plain", "a", "1")) == ({"a": ["1"]}, "plain")
+    assert frontmatter.edit("plain", "a", "1") == "plain" and frontmatter.edit("---\na: 1\nb", "a", "2") == "---\na: 1\nb"
+    assert frontmatter.edit("---\nk : 1\n  - x\n\nz: 2\n\n---\nrest", "k", "3") == "---\nk: 3\n\nz: 2\n\n---\nrest"
+    assert frontmatter.edit("---\nz: 2\n\n---\nrest", "k", "3") == "---\nz: 2\nk: 3\n\n---\nrest"
     df = spark.createDataFrame([(text,), (None,)], "t string").select(frontmatter.parsed("t").alias("x")).select("x.fm", "x.body")
     assert [r["body"] for r in df.collect()] == ["body\n", ""]
 

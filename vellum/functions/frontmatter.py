@@ -47,24 +47,22 @@ def parse(text: str, allowed: frozenset[str] | None = None) -> tuple[dict[str, l
 
 
 def edit(text: str, key: str, value: str | None) -> str:
-    """The text with a field set, or taken out with its list lines if the value is None."""
-    m = _FENCED.match(text)
-    if not m:
-        return text if value is None else f"---\n{key}: {value}\n---\n{text}"
-    lines, out, seen, skip = m[1].split("\n"), [], False, False
-    for line in lines:
-        if re.match(rf"{re.escape(key)}:", line):
-            seen, skip = True, True
-            if value is not None:
-                out.append(f"{key}: {value}")
-        elif skip and re.match(r"\s+|-\s", line):
-            continue
-        else:
-            skip = False
-            out.append(line)
-    if not seen and value is not None:
-        out.append(f"{key}: {value}")
-    return "---\n" + "\n".join(x for x in out if x or len(out) == 1) + "\n---\n" + text[m.end() :]
+    """The text with a field set, or taken out with its indented lines if the value is None.
+
+    The first line of the key is the field; a new one goes behind the last line that isn't blank.  A text without
+    frontmatter comes back as it is.
+    """
+    close = text.find("\n---\n", 4) if text.startswith("---\n") else -1
+    if close < 0:
+        return text
+    head, field = text[:close].split("\n"), re.compile(rf"{re.escape(key)}\s*:")
+    line = [] if value is None else [f"{key}: {value}"]
+    begin = next((i for i, x in enumerate(head) if i and field.match(x)), None)
+    if begin is None:
+        begin = end = 1 + max(i for i, x in enumerate(head) if x.strip())
+    else:
+        end = next((i for i in range(begin + 1, len(head)) if not head[i].startswith((" ", "\t"))), len(head))
+    return "\n".join([*head[:begin], *line, *head[end:]]) + text[close:]
 
 
 @F.pandas_udf(PARSED)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
+from vellum.operators import search
 from vellum.schemas import PAGE_TYPES
 
 
@@ -86,25 +87,30 @@ def _grams(tokens: Column, n: int) -> Column:
 def crossref(pages: DataFrame, least: int = 4) -> DataFrame:
     """path, mentioned, linked and crossref = 1 - linked / mentioned of other pages' stems.
 
-    A mention is a stem's words in the text, as a phrase.  Texts become phrases of up to the longest stem's number of
-    words, and an equi-join on the phrase replaces the product of pages and stems.
+    A mention is a stem's words in the text, as a phrase.  Texts become phrases of as many words as stems have (a few
+    lengths reach the driver), and an equi-join on the phrase replaces the product of pages and stems.
     """
-    stems = pages.where(F.length("stem") >= least).select(F.lower("stem").alias("stem"), F.replace(F.lower("stem"), F.lit("-"), F.lit(" ")).alias("phrase")).distinct()
-    longest = 3
-    tokens = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_]+", " ")), " ")
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
+    stems = pages.where(F.length("stem") >= least).select(F.lower("stem").alias("stem"), plain("stem").alias("phrase")).distinct()
+    lengths = sorted(r["n"] for r in stems.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect())
+    tokens = F.split(plain("text"), " ")
     words = pages.select("path", F.lower("stem").alias("own"), tokens.alias("t"), F.transform(tx.links("text"), lambda x: F.lower(x)).alias("l"))
-    grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("t"), n) for n in range(1, longest + 1)])))
+    grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("t"), n) for n in lengths or [1]])))
     said = words.select("path", "own", "l", F.explode(grams).alias("phrase")).join(stems, "phrase").where("stem <> own")
     got = said.groupBy("path").agg(F.count("*").alias("mentioned"), F.count_if(F.array_contains("l", F.col("stem"))).alias("linked"))
     return pages.select("path").join(got, "path", "left").select("path", F.coalesce("mentioned", F.lit(0)).alias("mentioned"), F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce(1 - F.col("linked") / F.col("mentioned"), F.lit(0.0)).alias("crossref"))
 
 
-def scores(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """path, dir and the dimensions crossref, orphan, unsourced, with their composite (0.25 each)."""
+def scores(pages: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
+    """path, dir and the dimensions crossref, orphan, unsourced and coverage, with their composite (0.25 each).
+
+    ``docs`` (doc, text) is the material that pages should cite.
+    """
     count = inbound(links, pages).select("path", "citers")
     got = pages.select("path", "dir", unsourced("text").alias("unsourced")).join(crossref(pages).select("path", "crossref"), "path").join(count, "path")
-    got = got.withColumn("orphan", orphan_rate(F.col("citers")))
-    return got.select("path", "dir", "crossref", "orphan", "unsourced", ((F.col("crossref") + F.col("orphan") + F.col("unsourced")) * 0.25).alias("composite"))
+    got = got.join(search.coverage_gap(pages, docs).withColumnRenamed("gap", "coverage"), "path").withColumn("orphan", orphan_rate(F.col("citers")))
+    composite = (F.col("crossref") + F.col("orphan") + F.col("unsourced") + F.col("coverage")) * 0.25
+    return got.select("path", "dir", "crossref", "orphan", "unsourced", "coverage", composite.alias("composite"))
 
 
 def dimension_distribution(scored: DataFrame, dims: list[str]) -> DataFrame:

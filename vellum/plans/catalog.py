@@ -349,9 +349,9 @@ def lint_unsourced(f):
     return f.pages.select("path", F.round(lint.unsourced("text"), 6).alias("unsourced"))
 
 
-_CROSS_SQL = """ph as (select distinct lower(stem) as stem, replace(lower(stem), '-', ' ') as phrase from wiki_page where length(stem) >= 4),
+_CROSS_SQL = """ph as (select distinct lower(stem) as stem, trim(regexp_replace(lower(stem), '[^\\p{L}\\p{N}_]+', ' ', 'g')) as phrase from wiki_page where length(stem) >= 4),
 tk as (select path, lower(stem) as own, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' ') as t, list_transform(regexp_extract_all(text, '\\[\\[([^\\]|]+)(?:\\|[^\\]]+)?\\]\\]', 1), lambda x: lower(x)) as l from wiki_page),
-gr as (select path, own, l, unnest(list_distinct(list_concat(t, list_concat(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))))) as phrase from tk),
+gr as (select distinct path, own, l, phrase from (select path, own, l, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))) as phrase from tk, (select distinct len(string_split(phrase, ' ')) as n from ph))),
 cr as (select path, count(*) as mentioned, count(*) filter (list_contains(l, stem)) as linked from gr join ph using (phrase) where stem <> own group by path),
 crossref as (select p.path, coalesce(mentioned, 0) as mentioned, coalesce(linked, 0) as linked, coalesce(1 - linked / mentioned, 0.0) as crossref from wiki_page p left join cr on p.path = cr.path)"""
 
@@ -361,33 +361,40 @@ def lint_crossref(f):
     return lint.crossref(f.pages).withColumn("crossref", F.round("crossref", 6))
 
 
-_SCORE_SQL = f"""{_UNSOURCED_SQL}, {_CROSS_SQL}, inb as (select target, count(distinct path) as c from links where target <> lower(stem) group by target),
-scored as (select p.path, p.dir, crossref, unsourced, cast(case coalesce(c, 0) when 0 then 1.0 when 1 then 0.66 when 2 then 0.33 else 0.0 end as double) as orphan from wiki_page p join unsourced u on p.path = u.path join crossref x on p.path = x.path left join inb on lower(p.stem) = inb.target),
-sc as (select *, (crossref + orphan + unsourced) * 0.25 as composite from scored)"""
+#: Share of the ten best documents for a page's stem words that it doesn't cite.
+_GAP_SQL = """vt as (select doc, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as t from vault), vw as (select doc, unnest(t) as w from vt), vp as (select w, doc, count(*) as tf from vw group by all), vd as (select w, count(*) as df from vp group by w), vn as (select count(*) as n, avg(len(t)) as a from vt),
+pw as (select distinct path, w from (select path, unnest(regexp_extract_all(lower(replace(stem, '-', ' ')), '[\\p{L}\\p{N}]+')) as w from wiki_page) where length(w) >= 3), pn as (select path, count(*) as terms from pw group by path),
+vh as (select pw.path, vp.doc, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(vt.t) / a))) as s, count(*) as k from pw join vp on pw.w = vp.w join vd on vd.w = pw.w join vt on vt.doc = vp.doc, vn group by pw.path, vp.doc),
+vb as (select vh.path, doc, row_number() over (partition by vh.path order by round(s, 6) desc, doc) as r from vh join pn on vh.path = pn.path where k = terms),
+gap as (select path, avg(case when (path, lower(doc)) in (select path, lower(source) from raw_cites) then 0.0 else 1.0 end) as gap from vb where r <= 10 group by path)"""
 
+_SCORE_SQL = f"""{_UNSOURCED_SQL}, {_CROSS_SQL}, {_GAP_SQL}, inb as (select target, count(distinct path) as c from links where target <> lower(stem) group by target),
+scored as (select p.path, p.dir, crossref, unsourced, cast(case coalesce(c, 0) when 0 then 1.0 when 1 then 0.66 when 2 then 0.33 else 0.0 end as double) as orphan, coalesce(gap, 0.0) as coverage from wiki_page p left join gap g on g.path = p.path join unsourced u on p.path = u.path join crossref x on p.path = x.path left join inb on lower(p.stem) = inb.target),
+sc as (select *, (crossref + orphan + unsourced + coverage) * 0.25 as composite from scored)"""
 
-@query(f"with {_SCORE_SQL} select path, round(crossref, 6) as crossref, round(orphan, 6) as orphan, round(unsourced, 6) as unsourced, round(composite, 6) as composite from sc order by composite desc, path limit 50")
+
+@query(f"with {_SCORE_SQL} select path, round(crossref, 6) as crossref, round(orphan, 6) as orphan, round(unsourced, 6) as unsourced, round(coverage, 6) as coverage, round(composite, 6) as composite from sc order by composite desc, path limit 50")
 def lint_composite(f):
-    cols = [F.round(x, 6).alias(x) for x in ("crossref", "orphan", "unsourced", "composite")]
-    return lint.scores(f.pages, f.links).select("path", *cols).orderBy(F.desc("composite"), "path").limit(50)
+    cols = [F.round(x, 6).alias(x) for x in ("crossref", "orphan", "unsourced", "coverage", "composite")]
+    return lint.scores(f.pages, f.links, f.vault).select("path", *cols).orderBy(F.desc("composite"), "path").limit(50)
 
 
-DIMS = ["crossref", "orphan", "unsourced"]
+DIMS = ["crossref", "orphan", "unsourced", "coverage"]
 
 
-@query(f"with {_SCORE_SQL}, long as (select 'crossref' as dimension, crossref as v from sc union all select 'orphan', orphan from sc union all select 'unsourced', unsourced from sc) select dimension, round(avg(v), 6) as mean, cast(count(*) filter (v > 0.5) as bigint) as high, cast(count(*) filter (v = 0) as bigint) as zero from long group by dimension")
+@query(f"with {_SCORE_SQL}, long as (select 'crossref' as dimension, crossref as v from sc union all select 'orphan', orphan from sc union all select 'unsourced', unsourced from sc union all select 'coverage', coverage from sc) select dimension, round(avg(v), 6) as mean, cast(count(*) filter (v > 0.5) as bigint) as high, cast(count(*) filter (v = 0) as bigint) as zero from long group by dimension")
 def dimension_distribution(f):
-    return lint.dimension_distribution(lint.scores(f.pages, f.links), DIMS).withColumn("mean", F.round("mean", 6))
+    return lint.dimension_distribution(lint.scores(f.pages, f.links, f.vault), DIMS).withColumn("mean", F.round("mean", 6))
 
 
-@query(f"with {_SCORE_SQL} select case when greatest(crossref, orphan, unsourced) <= 0 then 'crossref' when crossref = greatest(crossref, orphan, unsourced) then 'crossref' when orphan = greatest(crossref, orphan, unsourced) then 'orphan' else 'unsourced' end as dimension, cast(count(*) as bigint) as n from sc where dir <> 'sources' group by 1")
+@query(f"with {_SCORE_SQL} select case when top <= 0 or crossref = top then 'crossref' when orphan = top then 'orphan' when unsourced = top then 'unsourced' else 'coverage' end as dimension, cast(count(*) as bigint) as n from (select *, greatest(crossref, orphan, unsourced, coverage) as top from sc) where dir <> 'sources' group by 1")
 def worst_dimension(f):
-    return lint.worst_dimension(lint.scores(f.pages, f.links), DIMS)
+    return lint.worst_dimension(lint.scores(f.pages, f.links, f.vault), DIMS)
 
 
 @query(f"with {_SCORE_SQL} select round(sum(orphan * 0.25) / nullif(sum(composite), 0), 6) as dominance from sc where dir <> 'sources'")
 def orphan_dominance(f):
-    return lint.orphan_dominance(lint.scores(f.pages, f.links)).withColumn("dominance", F.round("dominance", 6))
+    return lint.orphan_dominance(lint.scores(f.pages, f.links, f.vault)).withColumn("dominance", F.round("dominance", 6))
 
 
 @query("""with d as (select path, dir from wiki_page where dir <> 'sources'), e as (select a.dir as x, b.dir as y from wiki_link l join d a on l.src = a.path join d b on l.dst = b.path)
@@ -617,10 +624,12 @@ def activity_score(f):
     return activity.activity_score(activity.by_project(f.activity, AS_OF)).select("project", F.round("activity", 6).alias("activity"))
 
 
-@query()
+@query(f"""with {_PROJECT_SQL}, m as (select max(current) as a, max(signals) as b, max(cadence) as c from pr), sc as (select project, round(round(.55 * current / a + .30 * signals / b + .15 * cadence / c, 6), 4) as s from pr, m),
+sh as (select project, s, least(4, greatest(1, round(28 * s / sum(s) over ()))) as n from sc where s > 0), su as (select *, 28 - sum(n) over () as left_over, sum(4 - n) over (order by s desc, project) - (4 - n) as room, sum(n - 1) over (order by s, project) - (n - 1) as spare from sh)
+select project, cast(case when left_over > 0 then n + greatest(0, least(4 - n, left_over - room)) else n - greatest(0, least(n - 1, -left_over - spare)) end as int) as slots from su""")
 def slot_allocation(f):
-    rows = activity.activity_score(activity.by_project(f.activity, AS_OF)).collect()  # one row a project
-    share = planner.distribute({r["project"]: round(r["activity"], 4) for r in rows}, planner.split_slots(10)["project"])
+    rows = activity.activity_score(activity.by_project(f.activity, AS_OF)).orderBy("project").collect()  # one row a project
+    share = planner.distribute({r["project"]: round(round(r["activity"], 6), 4) for r in rows}, planner.split_slots(40)["project"])
     return f.spark.createDataFrame(sorted(share.items()), "project string, slots int")
 
 
@@ -628,7 +637,7 @@ def slot_allocation(f):
 select project, cast(rank as int) as rank, path, composite from r where rank <= 5""")
 def worst_within(f):
     tags = f.pages.select("path", F.expr("'proj-' || (length(path) % 5)").alias("project"))
-    return activity.worst_within(lint.scores(f.pages, f.links), tags).withColumn("composite", F.round("composite", 6))
+    return activity.worst_within(lint.scores(f.pages, f.links, f.vault), tags).withColumn("composite", F.round("composite", 6))
 
 
 # ---------------------------------------------------------------- lifecycle
@@ -722,7 +731,7 @@ def content_hash(f):
 @query(f"""with {_SCORE_SQL} select cast((select count(*) from wiki_page) as bigint) as pages, cast((select count(*) from sources) as bigint) as sources, cast((select count(*) from wiki_link) as bigint) as links, (select round(avg(composite), 6) from sc) as mean_composite, cast((select count(*) from sc where orphan = 1.0) as bigint) as orphans,
 cast((select count(*) from links where target not in (select stem from stems)) as bigint) as dead, case when (select count(*) from links where target not in (select stem from stems)) > 0 then 'create' else 'repair' end as mode""")
 def epoch_summary(f):
-    scored = lint.scores(f.pages, f.links)
+    scored = lint.scores(f.pages, f.links, f.vault)
     one = f.pages.agg(F.count("*").alias("pages"))
     for d in (f.sources.agg(F.count("*").alias("sources")), graph.wiki_links(f.pages).agg(F.count("*").alias("links")), scored.agg(F.round(F.avg("composite"), 6).alias("mean_composite"), F.count_if(F.col("orphan") == 1.0).alias("orphans")), lint.dead_links(f.links, f.pages).agg(F.count("*").alias("dead"))):
         one = one.crossJoin(d)  # one row each

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as tx
 
 AS_OF = "2024-01-31 00:00:00"
-#: Concept pages of parts: stems part-0 ... part-39, while links go to part-0 ... part-49.
+#: Concept pages of parts: stems part-0 ... part-38 and one of five words, while links go to part-0 ... part-49.
 PART_PAGES, PART_TARGETS = 40, 50
 
 _DIR = "case o_orderpriority when '1-URGENT' then 'concepts' when '2-HIGH' then 'entities' when '3-MEDIUM' then 'analyses' when '4-NOT SPECIFIED' then 'evidence' else 'sources' end"
@@ -26,8 +26,8 @@ _HEAD = "'---' || chr(10) || 'title: ' || title || chr(10) || 'type: ' || type |
 _PAGE_OF_ORDER = f"""select o_orderkey as k, {_DIR} as dir, {_TYPE} as type, 'Order ' || o_orderkey as title, cast(cast(o_orderdate as date) as string) as created,
     'o-' || o_orderkey as stem, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as nxt from {{orders}}"""
 _PAGE_TEXT = f"{_HEAD} || coalesce(items || chr(10), '') || coalesce('Next in line is [[o-' || nxt || ']].', '')"
-_PART_PAGE = f"""select p_partkey as k, 'concepts' as dir, 'concept' as type, 'Part ' || p_partkey as title, '2024-01-01' as created, 'part-' || p_partkey as stem,
-    'Part ' || p_partkey || ' relates to [[part-' || ((p_partkey * 7 + 1) % {PART_TARGETS}) || ']].' as items, cast(null as bigint) as nxt from {{part}} where p_partkey < {PART_PAGES}"""
+_PART_PAGE = f"""select p_partkey as k, 'concepts' as dir, 'concept' as type, 'Part ' || p_partkey as title, '2024-01-01' as created, case when p_partkey = 39 then 'long-review-of-part-39' else 'part-' || p_partkey end as stem,
+    'Part ' || p_partkey || ' relates to [[part-' || ((p_partkey * 7 + 1) % {PART_TARGETS}) || ']].' || case when p_partkey % 5 = 1 then ' A long review of part 39 says so.' when p_partkey % 5 = 2 then ' Read the [[long-review-of-part-39]], a long review of part 39.' else '' end as items, cast(null as bigint) as nxt from {{part}} where p_partkey < {PART_PAGES}"""
 
 #: Common table expressions of DuckDB that every catalogue SQL may use.
 SQL = f"""
@@ -36,6 +36,7 @@ body as (select l_orderkey as k, string_agg(s, chr(10) order by l_linenumber, l_
 all_page as (select o.k, dir, type, title, created, stem, items, nxt from order_page o left join body b on o.k = b.k union all {_PART_PAGE.format(part="part")}),
 wiki_page as (select dir || '/' || stem || '.md' as path, stem, dir, type, title, created, {_PAGE_TEXT} as text from all_page),
 sources as (select 'parts/p-' || p_partkey || '.extracted.md' as path, p_name as title from part),
+vault as (select 'parts/p-' || p_partkey || '.extracted.md' as doc, 'part ' || p_partkey || ' ' || p_name as text from part),
 raw_links as (select path, stem, dir, type, unnest(regexp_extract_all(text, '\\[\\[([^\\]|]+)(?:\\|[^\\]]+)?\\]\\]', 1)) as raw from wiki_page),
 links as (select *, replace(lower(trim(raw)), ' ', '-') as target from raw_links),
 stems as (select lower(stem) as stem, min(path) as path from wiki_page group by lower(stem)),
@@ -78,6 +79,10 @@ class Fixtures:
     def sources(self) -> DataFrame:
         return self.part.select(F.expr("'parts/p-' || p_partkey || '.extracted.md'").alias("path"), F.col("p_name").alias("title"))
 
+    @cached_property
+    def vault(self) -> DataFrame:
+        return self.part.select(F.expr("'parts/p-' || p_partkey || '.extracted.md'").alias("doc"), F.expr("'part ' || p_partkey || ' ' || p_name").alias("text"))
+
     @cached_property
     def activity(self) -> DataFrame:
         first, second = F.expr("'proj-' || (user_id % 10)"), F.expr("'proj-' || (user_id % 7)")

@@ -15,28 +15,33 @@ def split_slots(total: int) -> dict[str, int]:
     if total <= 1:
         return {"project": total, "bridges": 0, "unclassified": 0, "ambient": 0}
     if total <= 3:
-        return {"project": total - 1, "bridges": 1, "unclassified": 0, "ambient": 0}
+        return {"project": total - 1, "bridges": 0, "unclassified": 0, "ambient": 1}
     out = {k: max(1, math.floor(v * total)) for k, v in SHARES.items()}
     return {"project": total - sum(out.values()), **out}
 
 
 def distribute(scores: dict[str, float], slots: int) -> dict[str, int]:
-    """Slots of each project: in proportion, one to four each, then mended by single slots until they sum up."""
-    names = sorted(scores, key=lambda p: (-scores[p], p))
-    if not names or slots <= 0:
-        return {p: 0 for p in names}
-    if len(names) == 1:
-        return {names[0]: slots}
-    total = sum(scores.values())
-    if total <= 0:
-        base, rest = divmod(slots, len(names))
-        return {p: base + (i < rest) for i, p in enumerate(sorted(names))}
-    names = names[:slots]
-    out = {p: max(LEAST, min(MOST, round(slots * scores[p] / total))) for p in names}
-    while sum(out.values()) > slots:
-        out[max((p for p in names if out[p] > LEAST), key=lambda p: (out[p], -scores[p]), default=names[-1])] -= 1
-    while sum(out.values()) < slots:
-        out[min((p for p in names if out[p] < MOST), key=lambda p: (out[p] / max(scores[p], 1e-9), p), default=names[0])] += 1
+    """Slots of the projects that get any, in proportion to scores above 0, one to four each.
+
+    What rounding leaves over goes to the highest score with room, what it takes too many comes off the lowest one that has
+    more than one; where no project has room the sum differs.  A single project gets all; without scores all share alike.
+    """
+    if not scores or slots <= 0:
+        return {}
+    active = {p: s for p, s in scores.items() if s > 0}
+    if not active:
+        each, rest = divmod(slots, len(scores))
+        even = {p: each + (i < rest) for i, p in enumerate(sorted(scores))}
+        return {p: n for p, n in even.items() if n}
+    if len(active) == 1:
+        return dict.fromkeys(active, slots)
+    total = sum(active.values())
+    out = {p: min(MOST, max(LEAST, round(slots * s / total))) for p, s in active.items()}
+    left = slots - sum(out.values())
+    # one project after the other takes all that it has room for
+    for p in sorted(active, key=active.get, reverse=left > 0):
+        change = min(left, MOST - out[p]) if left > 0 else max(left, LEAST - out[p])
+        out[p], left = out[p] + change, left - change
     return out
 
 
