@@ -12,6 +12,7 @@ def test_frontmatter(spark):
     assert fm == {"title": ["A: b"], "sources": ["x", "y"], "tags": ["p", "q"], "empty": []} and body == "body\n"
     assert frontmatter.parse(text, frozenset({"title"}))[0] == {"title": ["A: b"]}
     assert frontmatter.parse("---\ntitle: x\nbody") == ({}, "---\ntitle: x\nbody") and frontmatter.parse(None) == ({}, "")
+    text = text.replace("\n- ", "\n  - ")
     done = frontmatter.edit(text, "sources", "[z]")
     assert frontmatter.parse(done)[0]["sources"] == ["z"] and frontmatter.edit(done, "sources", "[z]") == done
     assert "sources" not in frontmatter.parse(frontmatter.edit(text, "sources", None))[0]
