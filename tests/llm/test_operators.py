@@ -263,6 +263,16 @@ def test_compression_quality(spark, small, odd, empty):
 # ---------------------------------------------------------------- 5
 
 
+def test_unsplit_stretches_of_short_texts_take_the_tree(monkeypatch):
+    b, lib, ran = bpe.byte_level(BYTE), Tokenizer.from_file(BYTE), []
+    plain_tree = tree_bpe.tree
+    monkeypatch.setattr(tree_bpe, "tree", lambda parts, *a: ran.append(len(parts)) or plain_tree(parts, *a))
+    r = random.Random(4)
+    for text in ("see " + "x" * 200 + " and on", "日本語の長い文章は" * 12, " " + "q" * 65, "don't" + "z" * 80, "a" * 63 + "é", "\n" * 90 + "k", "=" * 300 + " <|endoftext|> " + "9" * 100, *("".join(r.choice("ab é'日\n") for _ in range(40)) + r.choice("xyz日é-5") * r.randrange(20, 200) + " end" for _ in range(300))):
+        assert tree_bpe.encode_text(b, text).tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert len(ran) > 100 and max(ran) > 2
+
+
 def test_joins_agree_with_whole_encoding():
     b = bpe.byte_level(BYTE)
     for text in ("x" * 3000, "ab" * 2000, "".join(rng.choice("etaoinshr") for _ in range(5000)), "日本" * 900, "é" * 777):
@@ -448,6 +458,19 @@ def test_damage_is_found():
             token_records.read_record(io.BytesIO(good[:at] + bytes([good[at] ^ 1]) + good[at + 1 :]))
 
 
+def test_words_like_the_library_on_every_code_point():
+    lib, own = Tokenizer.from_file(WORD), bpe.word_end(WORD)
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x20000, 0x110000, 97)]
+    for i in range(0, len(points), 400):
+        text = " ".join(f"a{c}b {c}1" for c in points[i : i + 400])
+        assert np.frombuffer(own.encode_all([text])[0], own.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids, i
+    r = random.Random(2)
+    for _ in range(300):
+        text = "".join(r.choice("ΑΒΣςσΟΔ abİıß'.") for _ in range(60))
+        assert np.frombuffer(own.encode_all([text])[0], own.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert own.n_slow > 0
+
+
 # ---------------------------------------------------------------- 10
 
 

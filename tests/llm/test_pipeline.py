@@ -58,6 +58,13 @@ def test_stages_on_odd_and_empty_tables(spark):
     assert not {3, 4, 5, 14} & {i for i, _ in rows_of(p.identify(spark, docs, SF))}
 
 
+def test_texts_that_share_an_id_are_not_lost(spark):
+    a, b = " ".join(f"alpha{chr(97 + i % 26)}{i}" for i in range(40)), " ".join(f"beta{chr(97 + i % 26)}{i}" for i in range(40))
+    rows = [(5, a), (5, b), (5, a), (7, b), (9, a + " more"), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS.split(", key")[0])
+    assert sorted(rows_of(p.dedup_documents(spark, docs, SF)), key=str) == sorted([(5, a), (5, b), (None, a)], key=str)
+
+
 def test_every_source_comes_near_its_target(spark):
     r = random.Random(3)
     rows = [(i, " ".join(["word"] * r.randint(40, 600)), "en", "abcdefg"[min(r.randrange(12), 6)], 1) for i in range(2000)]

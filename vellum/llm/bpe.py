@@ -22,6 +22,17 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "\0"
 
 
+@cache
+def assigned(char: str) -> bool:
+    """Is it a character of the Unicode version whose tables the fast way goes by?  Later ones may be letters to one library only."""
+    return unicodedata.category(char) != "Cn"
+
+
+def lower(text: str) -> str:
+    """Lower case letter by letter: a capital sigma at the end of a word is like any other."""
+    return text.replace("\u03a3", "\u03c3").lower()
+
+
 @cache
 def byte_of_char() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the rest from 256 on."""
@@ -125,7 +136,7 @@ class WordEnd:
         self.ends = ends
         self.core = tiktoken.Encoding(path, pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
         self.pieces = regex.compile(WORD_PATTERN)
-        self.path, self.kept, self.slow = path, {}, None
+        self.path, self.kept, self.slow, self.n_slow = path, {}, None, 0
         self.dtype = np.dtype("<u2") if max([*vocab.values(), *self.added.ids.values()], default=0) < 1 << 16 else np.dtype("<u4")
 
     def _slow(self, word: str) -> list[int]:
@@ -139,10 +150,11 @@ class WordEnd:
         fast, pieces, counts = [], [], []
         for w in words:
             word = w.decode("utf-8", "replace")
-            if END in word or any(k in word for k in self.added.ids):
+            if END in word or any(k in word for k in self.added.ids) or not (word.isascii() or all(map(assigned, word))):
+                self.n_slow += 1
                 self.kept[w] = np.array(self._slow(word), self.dtype).tobytes()
             else:
-                own = self.pieces.findall((word if word.isascii() else unicodedata.normalize("NFC", word)).lower())
+                own = self.pieces.findall(lower(word if word.isascii() else unicodedata.normalize("NFC", word)))
                 fast.append(w), counts.append(len(own))
                 pieces += own
         if not fast:

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,9 @@ from .common import arrow_map, bound_batches, column, texts
 #: Texts of more characters are dealt out in parts, so that one long text doesn't hold up a task.
 PART_CHARS = 32_768
 #: Bytes of a leaf of an unsplit stretch, and tokens on either side of a join that the first window takes.
-LEAF_BYTES, WINDOW = 4_096, 8
+LEAF_BYTES, WINDOW = 64, 8
+#: Texts without a run of so many characters of one class hold no unsplit stretch of more than a leaf: four bytes are the most of a character.
+_RUN = regex.compile(r"\p{L}{16,}|\p{N}{16,}|[^\s\p{L}\p{N}]{16,}|\s{16,}")
 
 
 def join(left: list[int], right: list[int], size: Callable[[int], bytes], encode: Callable[[bytes], list[int]], window: int = WINDOW) -> list[int]:
@@ -51,6 +54,11 @@ def halves(raw: bytes, leaf: int = LEAF_BYTES) -> list[bytes]:
     return halves(raw[: len(raw) // 2], leaf) + halves(raw[len(raw) // 2 :], leaf)
 
 
+def _long_run(text: str, leaf: int) -> bool:
+    """Could the text hold an unsplit stretch of more than ``leaf`` bytes?  A blank may lead one."""
+    return any(len(m[0].encode("utf-8", "surrogatepass")) >= leaf for m in _RUN.finditer(text)) if leaf >= LEAF_BYTES else True
+
+
 def stretches(bpe: ByteLevel, text: str, part: int = PART_CHARS, leaf: int = LEAF_BYTES) -> Iterator[tuple[bool, bytes]]:
     """(unsplit, bytes) in order: long unsplit stretches, and runs of pieces of about ``part`` characters.
 
@@ -60,6 +68,9 @@ def stretches(bpe: ByteLevel, text: str, part: int = PART_CHARS, leaf: int = LEA
         if some in bpe.added.ids:
             yield False, some.encode()
             continue
+        if len(some) <= part and not _long_run(some, leaf):
+            yield False, some.encode("utf-8", "surrogatepass")
+            continue
         begin, end = 0, 0
         for m in bpe.pieces.finditer(some):
             a, b = m.span()
@@ -98,7 +109,7 @@ def _finish(bpe: ByteLevel, keys: pa.Array, ids: list[np.ndarray], decoded: bool
 def encode(docs: DataFrame, path: str, decoded: bool = False, part: int = PART_CHARS) -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit) of every whole text; with ``decoded`` their text too.
 
-    Short texts are encoded where they are read.  Long ones are cut into stretches, the stretches and the leaves of
+    Short texts are encoded where they are read, and their unsplit stretches through the tree there.  Long ones are cut into stretches, the stretches and the leaves of
     unsplit ones are dealt to all tasks, and one row a text gathers them again: what a task holds is one text's ids.
     Null and empty texts have no ids.  Null ids and repeated rows keep a row each; other columns are not read.
     """
@@ -109,7 +120,7 @@ def encode(docs: DataFrame, path: str, decoded: bool = False, part: int = PART_C
 
     def short():
         bpe = byte_level(path)
-        return lambda batch: _finish(bpe, column(batch, "doc_id"), [bpe.encode(t) if t else np.zeros(0, np.uint32) for t in texts(batch)], decoded)
+        return lambda batch: _finish(bpe, column(batch, "doc_id"), [encode_text(bpe, t or "") for t in texts(batch)], decoded)
 
     def cut():
         bpe = byte_level(path)
