@@ -33,12 +33,24 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows without an id stay."""
-    docs = docs.select(COLUMNS)
-    groups = jaccard_join.jaccard_groups(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()).select(COLUMNS))
+    """Of each group of near copies one document with the smallest id stays; rows without an id stay.
+
+    Different texts that share an id are told apart by a number of the row: each is a document of its own, and of a group
+    the one with the smallest id, then the smallest number, stays.
+    """
+    named = docs.select(COLUMNS).where("doc_id is not null")
+    again = materialise(named.groupBy("doc_id").count().where("count > 1").select("doc_id"), "jaccard-ids")
+    if again.isEmpty():
+        groups = jaccard_join.jaccard_groups(named)
+        first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+        kept = named.join(first, "doc_id", "left_semi")
+    else:
+        # numbers in the order of ids: those of one id lie next to each other
+        numbered = materialise(named.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
+        groups = jaccard_join.jaccard_groups(numbered.select(F.col("_row").alias("doc_id"), "text"))
+        first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row"))
+        kept = numbered.join(first, "_row", "left_semi")
+    return kept.select(COLUMNS).unionByName(docs.select(COLUMNS).where(F.col("doc_id").isNull()))
 
 
 def copies(taken: DataFrame) -> DataFrame:
