@@ -8,6 +8,7 @@ neighbouring tokens of the result are neighbours in some true encoding, which ma
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ PART_CHARS = 32_768
 #: Bytes of a leaf of an unsplit stretch, and tokens on either side of a join that the first window takes.
 LEAF_BYTES, WINDOW = 64, 8
 #: Texts without a run of so many characters of one class hold no unsplit stretch of more than a leaf: four bytes are the most of a character.
+_BLANKS = re.compile(r"\s{16}")
 _RUN = regex.compile(r"\p{L}{16,}|\p{N}{16,}|[^\s\p{L}\p{N}]{16,}|\s{16,}")
 
 
@@ -56,6 +58,9 @@ def halves(raw: bytes, leaf: int = LEAF_BYTES) -> list[bytes]:
 
 def _long_run(text: str, leaf: int) -> bool:
     """Could the text hold an unsplit stretch of more than ``leaf`` bytes?  A blank may lead one."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    if leaf >= LEAF_BYTES and max(map(len, words), default=0) < leaf and not _BLANKS.search(text):
+        return False
     return any(len(m[0].encode("utf-8", "surrogatepass")) >= leaf for m in _RUN.finditer(text)) if leaf >= LEAF_BYTES else True
 
 
