@@ -9,9 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vellum.functions import naming, porter
+from vellum.functions import frontmatter, naming, porter
 from vellum.functions import text as tx
-from vellum.operators import activity, gates, graph, lifecycle, lint, search, tables
+from vellum.operators import activity, gates, graph, lifecycle, lint, notes, search, tables
 from vellum.operators.tables import Declared
 from vellum.plans import planner
 from vellum.sources import pages as src
@@ -179,3 +179,46 @@ def test_rewrites_are_idempotent(spark):
     assert sinks.changed(pages, done).count() == 1 and sinks.changed(done, done).count() == 0
     assert one(spark, "50%%%% of", tx.collapse_percent) == "50% of"
     assert lint.log_tail(spark.createDataFrame([(1, "aaaa"), (2, "bb")], "pos long, line string"), 4).count() == 1
+
+
+def test_truncation_keeps_whole_characters(spark):
+    rows = ["", "abc", "añb漢😀c" * 3, "one\ntwo ñ漢\nthree😀", "😀😀😀", "ñ" * 40]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    for most in (1, 2, 3, 4, 5, 7, 10, 13, 16, 1000):
+        for (t,), got in zip([(t,) for t in rows], df.select("t", gates.truncated("t", most).alias("c")).collect(), strict=True):
+            raw = t.encode()
+            cut = raw[:most].decode(errors="ignore")
+            want = (cut.rsplit("\n", 1)[0] if "\n" in cut else cut, "snippet") if len(raw) > most else (t, "full")
+            assert (got["c"]["text"], got["c"]["mode"]) == want, (t, most)
+
+
+def test_note_text_and_sections(spark):
+    got = spark.createDataFrame([("* [[ring-theory|Rings]] and [[Fields]]  meet (note:N12) (created: 2024-01-05)",), ("plain",)], "line string")
+    assert [r[0] for r in got.select(notes.plain("line")).collect()] == ["Rings and Fields meet", "plain"]
+    once = notes.append_section("# log", "runs", "- b1\n")
+    assert once == "# log\n\n## runs\n\n- b1\n"
+    assert notes.append_section(once, "runs", "- b1\n") == once
+    assert notes.append_section(once, "runs", "- b2") == once + "- b2\n"
+
+
+def test_nearest_in_blocks_is_like_one_block(spark):
+    vectors = spark.range(60).selectExpr("id as vec_id", "array(sin(id), cos(id * 3), sin(id * id)) as embedding")
+    anchors = vectors.selectExpr("vec_id as anchor", "embedding as anchor_embedding").where("anchor % 3 = 0")
+    whole = sorted(map(tuple, search.nearest(vectors, anchors, 0.1).collect()))
+    assert whole == sorted(map(tuple, search.nearest(vectors, anchors, 0.1, block=7).collect()))
+    assert search.nearest(vectors, anchors.where("false"), 0.1).count() == 0 and search.nearest(vectors.where("false"), anchors, 0.1).count() == 0
+
+
+def test_update_refuses_and_never_sets_keys(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    changes = spark.createDataFrame([(1, "x", "log:1"), (1, "y", "log:2"), (2, "z", None), (9, "q", "log:3")], "k int, v string, _provenance string")
+    done, status = tables.update(rows, changes, "k", "now")
+    assert sorted(map(str, (tuple(r) for r in done.collect()))) == sorted(map(str, [(1, "y", "log:2", "now"), (2, "b", None, None), (None, "c", None, None)]))
+    assert sorted(map(tuple, status.collect())) == [(1, "updated"), (1, "updated"), (2, "refused"), (9, "not_found")]
+    assert tables.exists(spark, ["no_such_table"]) == {"no_such_table": False}
+
+
+def test_inner_fields_come_before_outer_ones():
+    page = "---\ntitle: out\nkind: mail\n---\n<!-- BEGIN FETCHED CONTENT -->\n---\ntitle: in\ntags: [a, b]\n---\nbody"
+    assert frontmatter.merged(page) == {"title": ["in"], "kind": ["mail"], "tags": ["a", "b"]}
+    assert frontmatter.merged("---\ntitle: out\n---\nbody") == {"title": ["out"]} and frontmatter.merged("") == {}

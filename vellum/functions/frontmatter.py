@@ -65,6 +65,21 @@ def edit(text: str, key: str, value: str | None) -> str:
     return "\n".join([*head[:begin], *line, *head[end:]]) + text[close:]
 
 
+def merged(text: str) -> dict[str, list[str]]:
+    """The fields of a source page; those of the text it fetched, if that has frontmatter of its own, come before the outer ones."""
+    outer, body = parse(text)
+    at = body.find("<!-- BEGIN FETCHED CONTENT")
+    begin = body.find("---\n", at) if at >= 0 else -1
+    end = body.find("\n---", begin + 4) if begin >= 0 else -1
+    return outer if end < 0 else outer | parse(f"---\n{body[begin + 4 : end]}\n---\n")[0]
+
+
+@F.pandas_udf(MapType(StringType(), ArrayType(StringType())))
+def source_fields(texts: pd.Series) -> pd.Series:
+    """map<string,array<string>> of the merged fields of each text."""
+    return texts.map(merged)
+
+
 @F.pandas_udf(PARSED)
 def parsed(texts: pd.Series) -> pd.DataFrame:
     """struct<fm map<string,array<string>>, body> of each text."""

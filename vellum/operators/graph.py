@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
@@ -106,3 +106,17 @@ def propagate_tags(pages: DataFrame, cited: DataFrame, frozen: DataFrame) -> Dat
     got = cited.join(tags, "src").groupBy(F.col("dst").alias("path")).agg(F.collect_set("p").alias("new"))
     sources = pages.where("type = 'source'").join(frozen.select("path"), "path", "left_anti")
     return sources.join(got, "path", "left").select("path", F.array_sort(F.array_union("projects", F.coalesce("new", F.array().cast("array<string>")))).alias("projects"))
+
+
+def tagged_bridges(pairs: DataFrame, tags: DataFrame) -> DataFrame:
+    """Pairs with the sorted projects of both pages (path, projects); cross_project if both have some and they differ."""
+    of = lambda end: tags.select(F.col("path").alias(f"page_{end}"), F.array_sort(F.array_distinct(F.filter("projects", lambda x: x != ""))).alias(f"projects_{end}"))
+    got = pairs.join(of("a"), "page_a", "left").join(of("b"), "page_b", "left")
+    for end in "ab":
+        got = got.withColumn(f"projects_{end}", F.coalesce(f"projects_{end}", F.array().cast("array<string>")))
+    return got.withColumn("cross_project", (F.size("projects_a") > 0) & (F.size("projects_b") > 0) & (F.col("projects_a") != F.col("projects_b")))
+
+
+def radius(degrees: Column | str) -> Column:
+    """How large a node is drawn."""
+    return 4 + 1.6 * F.sqrt(F.coalesce(tx.c(degrees), F.lit(0)) + 1)

@@ -115,3 +115,25 @@ def rewrite_links(pages: DataFrame, renames: DataFrame) -> DataFrame:
     used = pages.select("path", F.explode(F.array_distinct(tx.links("text"))).alias("raw")).join(renames, tx.target("raw") == F.col("old")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("raw", "new"))).alias("_m"))
     done = F.aggregate("_m", F.col("text"), lambda t, m: F.replace(F.replace(t, F.concat(F.lit("[["), m["raw"], F.lit("]]")), F.concat(F.lit("[["), m["new"], F.lit("]]"))), F.concat(F.lit("[["), m["raw"], F.lit("|")), F.concat(F.lit("[["), m["new"], F.lit("|"))))
     return pages.join(used, "path").select("path", done.alias("text"))
+
+
+def cache_stats(cache: DataFrame, pending: DataFrame) -> DataFrame:
+    """kind, status and n of the identifier caches; what is queued (kind) has the status pending."""
+    every = cache.select("kind", "status").unionByName(pending.select("kind", F.lit("pending").alias("status")))
+    return every.groupBy("kind", "status").agg(F.count("*").alias("n"))
+
+
+def resolver_plan(names: DataFrame, endpoints: dict[str, str], enabled: bool) -> DataFrame:
+    """kind, endpoint, enabled, n_names and first_name: what a run would send where; nothing is sent."""
+    got = names.select("kind", normal_name("name").alias("name")).distinct().groupBy("kind").agg(F.count("*").alias("n_names"), F.min("name").alias("first_name"))
+    at = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in endpoints.items()]) if endpoints else F.lit(None).cast("string")
+    return got.select("kind", at.alias("endpoint"), F.lit(enabled).alias("enabled"), "n_names", "first_name")
+
+
+def render_plan(files: DataFrame, made: DataFrame, force: bool = False) -> DataFrame:
+    """path, page, asset and action (render or skip) of every page of the files (path, n_pages); assets there are skipped unless forced."""
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"(\.pdf){1,2}$", "")
+    pages = files.where("n_pages > 0").select("path", stem.alias("_s"), F.explode(F.sequence(F.lit(1), F.col("n_pages").cast("int"))).alias("page"))
+    plan = pages.select("path", "page", F.concat("_s", F.lit("-p"), "page", F.lit(".png")).alias("asset"))
+    got = plan.join(made.select("asset").distinct().withColumn("_m", F.lit(True)), "asset", "left")
+    return got.select("path", "page", "asset", F.when(F.col("_m") & F.lit(not force), "skip").otherwise("render").alias("action"))

@@ -101,6 +101,42 @@ def crossref(pages: DataFrame, least: int = 4) -> DataFrame:
     return pages.select("path").join(got, "path", "left").select("path", F.coalesce("mentioned", F.lit(0)).alias("mentioned"), F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce(1 - F.col("linked") / F.col("mentioned"), F.lit(0.0)).alias("crossref"))
 
 
+def _extracts(text: Column | str) -> Column:
+    """Names of extracts in the frontmatter's sources, a list or a scalar, in order."""
+    head = F.regexp_extract(tx.c(text), r"(?s)\A---\n(.*?)\n---", 1)
+    field = F.regexp_extract(head, r"(?m)^sources:([^\n]*(?:\n[ \t]*- [^\n]*)*)", 1)
+    return F.array_distinct(F.regexp_extract_all(field, F.lit(r"([\w./-]+\.extracted\.md)"), 1))
+
+
+def stubs_of(stubs: DataFrame) -> DataFrame:
+    """source and stub: the first stub (path, text) whose sources name an extract."""
+    return stubs.select("path", F.explode(_extracts("text")).alias("source")).groupBy("source").agg(F.min("path").alias("stub"))
+
+
+def orphan_stubs(pages: DataFrame, incoming: DataFrame, extracts: DataFrame, limit: int = 30, best: int = 3, head: int = 8000) -> DataFrame:
+    """stub, inbound and targets: the stubs that fewest pages link, and the concepts and entities they name most.
+
+    Named means in a stub or in the beginning of its first extract (path, text).  Only the stubs reported are searched:
+    phrases of as many words as stems have find the stems, then the texts are searched for those.  Ties go by stem, and
+    stubs alike in inbound by path.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
+    counts = incoming.select(F.lower("stem").alias("_s"), F.col("occurrences").alias("inbound"))
+    stubs = pages.where(F.col("path").startswith("sources/")).select("path", "text", F.lower("stem").alias("_s")).join(counts, "_s", "left")
+    worst = stubs.select("path", "text", F.coalesce("inbound", F.lit(0)).alias("inbound")).orderBy("inbound", "path").limit(limit)
+    begun = extracts.select(F.col("path").alias("_e"), F.substring("text", 1, head).alias("_x"))
+    said = worst.withColumn("_e", F.get(_extracts("text"), 0)).join(begun, "_e", "left").select("path", F.concat_ws("\n", "text", "_x").alias("t"))
+    known = pages.where(F.col("path").startswith("concepts/") | F.col("path").startswith("entities/")).where(F.length("stem") >= 3)
+    names = known.groupBy(F.lower("stem").alias("stem")).agg(F.min("path").alias("target")).withColumn("phrase", plain("stem"))
+    lengths = sorted(r["n"] for r in names.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect())
+    words = said.select("path", F.split(plain("t"), " ").alias("w"))
+    grams = words.select("path", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("w"), n) for n in lengths or [1]])))).alias("phrase"))
+    pattern = F.concat(F.lit(r"(?U)\b\Q"), F.replace("stem", F.lit("-"), F.lit(" ")), F.lit(r"\E\b"))
+    hits = grams.join(names, "phrase").join(said, "path").select("path", "stem", "target", F.regexp_count(F.lower("t"), pattern).alias("n")).where("n > 0")
+    top = hits.groupBy("path").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "stem", "target"))), 1, best).alias("_t"))
+    return worst.select("path", "inbound").join(top, "path", "left").select(F.col("path").alias("stub"), F.col("inbound").cast("long").alias("inbound"), F.array_join(F.coalesce(F.col("_t.target"), F.array().cast("array<string>")), ",").alias("targets"))
+
+
 def scores(pages: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
     """path, dir and the dimensions crossref, orphan, unsourced and coverage, with their composite (0.25 each).
 

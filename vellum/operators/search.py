@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,14 +133,31 @@ def knn(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return vectors.crossJoin(q).select("vec_id", distance("embedding", "_q").alias("distance")).orderBy(F.round("distance", 6), "vec_id").limit(k)
 
 
-def nearest(targets: DataFrame, anchors: DataFrame, least: float) -> DataFrame:
+def nearest(targets: DataFrame, anchors: DataFrame, least: float, block: int = 2048) -> DataFrame:
     """Of each target (vec_id, embedding) the most similar anchor (anchor, anchor_embedding), if similar enough.
 
-    Anchors are few by definition (one for each class); beyond the broadcast threshold Spark shuffles them in blocks.
+    Both sides are cut into blocks by hash of their ids, and a task multiplies one block by another: rows are shuffled once
+    for each block of the other side and pairs never become rows.  Ties, by six digits, go to the smallest anchor.
     """
-    pairs = targets.crossJoin(anchors).select("vec_id", "anchor", dot("embedding", "anchor_embedding").alias("similarity"))
-    best = pairs.groupBy("vec_id").agg(F.max(F.struct(F.round("similarity", 6).alias("s"), (-F.col("anchor")).alias("a"))).alias("b"))
-    return best.select("vec_id", (-F.col("b.a")).alias("anchor"), F.col("b.s").alias("similarity")).where(F.col("similarity") >= least)
+    targets, anchors = targets.select("vec_id", "embedding"), anchors.select("anchor", "anchor_embedding")
+    n, m = (max(1, -(-df.count() // block)) for df in (targets, anchors))
+    spread = lambda own, k: F.pmod(F.xxhash64(own), F.lit(k)).cast("int")
+    left = targets.select("*", spread("vec_id", n).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("ab"))
+    right = anchors.select("*", spread("anchor", m).alias("ab"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("tb"))
+    key = targets.schema["vec_id"].dataType.simpleString()
+    aid = anchors.schema["anchor"].dataType.simpleString()
+
+    def best(t: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        if t.empty or a.empty:
+            return pd.DataFrame({"vec_id": t["vec_id"].iloc[:0], "s": [], "anchor": a["anchor"].iloc[:0]})
+        a = a.sort_values("anchor")
+        s = np.round(np.stack(t["embedding"].to_numpy()).astype(float) @ np.stack(a["anchor_embedding"].to_numpy()).astype(float).T, 6)
+        at = s.argmax(1)  # the first of equals, that is the smallest anchor
+        return pd.DataFrame({"vec_id": t["vec_id"].to_numpy(), "s": s[np.arange(len(t)), at], "anchor": a["anchor"].to_numpy()[at]})
+
+    found = left.groupBy("tb", "ab").cogroup(right.groupBy("tb", "ab")).applyInPandas(best, f"vec_id {key}, s double, anchor {aid}")
+    top = found.groupBy("vec_id").agg(F.max("s").alias("similarity"), F.min_by("anchor", F.struct((-F.col("s")).alias("s"), "anchor")).alias("anchor"))
+    return top.where(F.col("similarity") >= least).select("vec_id", "anchor", "similarity")
 
 
 def ranked(df: DataFrame, key: str, order: list[Column], stream: int, limit: int) -> DataFrame:

@@ -109,6 +109,46 @@ def merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
 
 
+def update(rows: DataFrame, changes: DataFrame, key: str, at: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the changes' values, and key with status (updated, not_found or refused) of every change.
+
+    ``changes`` holds the key, columns to set (null leaves a value as it is), and _provenance, without a valid one a change
+    is refused; the key itself is never set.  Of several changes to a key the one with the largest _provenance counts.
+    """
+    fields = [c for c in changes.columns if c not in (key, "_provenance") and c in rows.columns]
+    valid = F.coalesce(F.col("_provenance").rlike(PROVENANCE), F.lit(False))
+    last = changes.where(valid).groupBy(key).agg(F.max_by(F.struct(*[F.col(c).alias(f"_set_{c}") for c in fields], F.col("_provenance").alias("_set_prov")), "_provenance").alias("_c"))
+    kept = [F.coalesce(f"_c._set_{c}", c).alias(c) if c in fields else F.col(c) for c in rows.columns if c not in ("_provenance", "_updated_at")]
+    old = [F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in ("_provenance", "_updated_at")]
+    done = rows.join(last, key, "left").select(*kept, F.coalesce("_c._set_prov", old[0]).alias("_provenance"), F.when(F.col("_c").isNotNull(), F.lit(at)).otherwise(old[1]).alias("_updated_at"))
+    there = rows.select(key).distinct().withColumn("_there", F.lit(True))
+    status = changes.join(there, key, "left").select(key, F.when(~valid, "refused").when(F.col("_there"), "updated").otherwise("not_found").alias("status"))
+    return done, status
+
+
+def change_counts(changes: DataFrame, audits: DataFrame) -> DataFrame:
+    """table_name, changes: inserts and effective updates (table_name, at) since the table's last audit (table_name, last_audit_at)."""
+    got = changes.join(audits.groupBy("table_name").agg(F.max("last_audit_at").alias("_a")), "table_name", "left")
+    return got.groupBy("table_name").agg(F.count_if(F.col("_a").isNull() | (F.col("at") > F.col("_a"))).alias("changes"))
+
+
+def class_tables(meta: DataFrame, counts: DataFrame) -> DataFrame:
+    """table_name, schema_hash, entity_page and row_count of the synced tables; a table without rows has 0."""
+    n = counts.groupBy("table_name").agg(F.sum("n").alias("_n"))
+    return meta.join(n, "table_name", "left").select("table_name", "schema_hash", "entity_page", F.coalesce("_n", F.lit(0)).cast("long").alias("row_count"))
+
+
+def declared_report(live: DataFrame, declared: DataFrame) -> DataFrame:
+    """table_name, state: synced, stale (declared otherwise since), undeclared or not synced, by schema hash."""
+    both = live.select("table_name", F.col("schema_hash").alias("_l")).join(declared.select("table_name", F.col("schema_hash").alias("_d")), "table_name", "full_outer")
+    return both.select("table_name", F.when(F.col("_d").isNull(), "undeclared").when(F.col("_l").isNull(), "not synced").when(F.col("_l") == F.col("_d"), "synced").otherwise("stale").alias("state"))
+
+
+def exists(spark: SparkSession, names: list[str]) -> dict[str, bool]:
+    """Of each system table: does the catalogue hold it?"""
+    return {name: spark.catalog.tableExists(name) for name in names}
+
+
 def provenance(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Rows (id, provenance) without an origin, and why: missing, bad prefix, no such file."""
     path = F.regexp_replace("provenance", "^vault:", "")

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions import naming
+from vellum.functions import frontmatter, naming
 from vellum.functions import text as tx
-from vellum.operators import activity, gates, graph, ingest, lifecycle, lint, rewrites, search, tables
+from vellum.operators import activity, gates, graph, ingest, lifecycle, lint, notes, rewrites, search, tables
 from vellum.operators.tables import Declared
 from vellum.plans import fixtures, planner
 from vellum.plans.fixtures import AS_OF, Fixtures
@@ -837,6 +837,172 @@ def keyword_snippet(f):
     return f.documents.select("doc_id", ingest.snippet("text", ["that"]).alias("snippet"))
 
 
+# ---------------------------------------------------------------- notes, names, plans
+
+
+_NOTE_OF = "'- ' || {t} || ' [[part-3|the part]] of [[Rings]]  here (note:N' || doc_id || ') (created: 2024-01-05)'"
+
+
+@query(r"""with l as (select doc_id, trim(regexp_replace('the part of Rings here', '\s+', ' ', 'g')) as tail, substr(regexp_replace(coalesce(text, ''), '[^a-z ]', '', 'g'), 1, 40) as t from documents where doc_id is not null)
+select 'N' || doc_id as note_id, trim(regexp_replace(any_value(t) || ' ' || any_value(tail), '\s+', ' ', 'g')) as text from l where doc_id % 3 <> 0 group by doc_id""")
+def note_backfill(f):
+    said = f.documents.where("doc_id is not null").withColumn("t", F.expr("substr(regexp_replace(coalesce(text, ''), '[^a-z ]', ''), 1, 40)"))
+    lines = said.select(F.lit("notes/a.md").alias("path"), F.col("doc_id").alias("pos"), F.expr(_NOTE_OF.format(t="t")).alias("line"))
+    known = f.documents.where("doc_id % 3 = 0").select(F.expr("'N' || doc_id").alias("note_id"))
+    return notes.backfill(lines, known)
+
+
+@query("""with u as (select vec_id, list_transform(cast(embedding as double[]), lambda x: x / sqrt(list_inner_product(cast(embedding as double[]), cast(embedding as double[])))) as e from embeddings),
+p as (select a.vec_id, b.vec_id as anchor, round(list_inner_product(a.e, b.e), 6) as similarity from u a, u b where a.vec_id % 7 = 0 and b.vec_id % 7 <> 0),
+r as (select *, row_number() over (partition by vec_id order by similarity desc, anchor) as r from p)
+select vec_id, anchor, similarity from r where r = 1 and similarity >= 0.3""")
+def note_repeats(f):
+    known = f.embeddings.where("vec_id % 7 <> 0").select(F.col("vec_id").alias("anchor"), F.col("embedding").alias("anchor_embedding"))
+    return notes.repeats(f.embeddings.where("vec_id % 7 = 0"), known, 0.3)
+
+
+@query("""with n as (select 'notes/topic-' || (event_id % 60) || '.md' as path, string_agg('- seen ' || event_id, chr(10) order by event_id) as l from events where event_id % 4 = 1 group by 1),
+p as (select 'notes/topic-' || r_regionkey || '.md' as path, 'old ' || r_name || case when r_regionkey % 2 = 0 then chr(10) else '' end as text from region)
+select n.path, coalesce(case when ends_with(p.text, chr(10)) then p.text else p.text || chr(10) end, '---' || chr(10) || 'title: "[note] Topic ' || regexp_extract(n.path, '(\\d+)', 1) || '"' || chr(10) || 'type: note' || chr(10) || 'created: 2024-01-31' || chr(10) || 'updated: 2024-01-31' || chr(10) || '---' || chr(10) || chr(10) || '## notes' || chr(10) || chr(10)) || n.l || chr(10) as text from n left join p on n.path = p.path""")
+def note_append(f):
+    pages = f.region.select(F.expr("'notes/topic-' || r_regionkey || '.md'").alias("path"), F.expr("'old ' || r_name || if(r_regionkey % 2 = 0, chr(10), '')").alias("text"))
+    fresh = f.events.where("event_id % 4 = 1").select(F.expr("'notes/topic-' || (event_id % 60) || '.md'").alias("path"), F.col("event_id").alias("id"), F.expr("'- seen ' || event_id").alias("line"))
+    return notes.append(pages, fresh, "2024-01-31")
+
+
+@query("""with m as (select 'arxiv:' || (l_partkey % 300) as ref, 's-' || (l_suppkey % 9) as source from lineitem), g as (select ref, list_sort(list(distinct source)) as s from m group by ref)
+select ref, case when cast(substr(ref, 7) as int) % 5 = 0 then 'asked' when cast(substr(ref, 7) as int) % 3 = 0 then 'held' else 'new' end as status, array_to_string(s[1:3], ', ') as sources from g""")
+def reference_requests(f):
+    of = lambda k: f.spark.range(300).where(f"id % {k} = 0").select(F.expr("'arxiv:' || id").alias("ref"))
+    return notes.requests(f.lineitem.select(F.expr("'arxiv:' || (l_partkey % 300)").alias("ref"), F.expr("'s-' || (l_suppkey % 9)").alias("source")), of(3), of(5))
+
+
+@query("select event_id as pos, 'wave ' || event_id as header from events where event_id % 10 = 0 order by event_id desc limit 5")
+def log_sections(f):
+    return notes.sections(f.events.select(F.col("event_id").alias("pos"), F.expr("if(event_id % 10 = 0, '## wave ' || event_id, '### ' || event_type)").alias("line")))
+
+
+_NAMES = ["alpha-2", "2alpha", "beta-", "Gamma", "a", "", "x\n", "notes/day.md", "todos/a/b.md", "notes/../x.md", "/notes/x.md", "notes/", "pages/x.md", "notes\\x.md", "./notes/y.md", "notes/.md", "notes/x.txt", "..", "raw/a b?.pdf", ".hidden", "raw/", "dé.png"]
+_NAME_ROWS = ", ".join("(" + "'" + n.replace("\n", "' || chr(10) || '") + "')" for n in _NAMES)
+
+
+@query(rf"""with n as (select * from (values {_NAME_ROWS}) t(name)), c as (select name, regexp_replace(regexp_extract(name, '([^/]*)/*$', 1), '[^a-zA-Z0-9._-]', '_', 'g') as c from n)
+select name, regexp_full_match(name, '[a-z]([a-z0-9-]*[a-z0-9])?') as project, regexp_full_match(name, '(\./)*(notes|todos)/(.*/)?[^/\\]+\.md') and not contains(name, '..') as editable, case when c <> '' and not starts_with(c, '.') then c end as file_name from c""")
+def name_safety(f):
+    rows = f.spark.createDataFrame([(n,) for n in _NAMES], "name string")
+    return rows.select("name", gates.project_name("name").alias("project"), gates.editable("name").alias("editable"), gates.file_name("name").alias("file_name"))
+
+
+@query("""with t as (select doc_id, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g') as text from documents), c as (select doc_id, text, substr(text, 1, 300) as c from t)
+select doc_id, case when length(text) > 300 then case when contains(c, chr(10)) then regexp_replace(c, '\\n[^\\n]*$', '') else c end else text end as text, case when length(text) > 300 then 'snippet' else 'full' end as mode from c""")
+def extract_truncation(f):
+    cut = gates.truncated(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "?"), 300)
+    return f.documents.select("doc_id", cut.alias("c")).select("doc_id", "c.text", "c.mode")
+
+
+@query("""with st as (select path, lower(stem) as s, 'parts/p-' || (length(text) % 200 + 1) || '.extracted.md' as e, text from wiki_page where dir = 'sources'),
+ib as (select target, count(*) as n from links where lower(stem) <> target group by target),
+wo as (select path, e, text, coalesce(n, 0) as inbound from st left join ib on s = target order by inbound, path limit 30),
+sd as (select path, replace(lower(wo.text), 'type: source' || chr(10), 'type: source' || chr(10) || 'sources: [' || e || ']' || chr(10)) || coalesce(chr(10) || lower(vault.text), '') as t from wo left join vault on e = doc),
+nm as (select lower(stem) as stem, min(path) as target from wiki_page where dir in ('concepts', 'entities') and length(stem) >= 3 group by lower(stem)),
+h as (select sd.path, nm.stem, target, len(regexp_extract_all(t, '\\b' || replace(nm.stem, '-', ' ') || '\\b')) as n from sd, nm where contains(t, replace(nm.stem, '-', ' '))),
+r as (select path, target, row_number() over (partition by path order by n desc, stem) as r from h where n > 0), a as (select path, string_agg(target, ',' order by r) as targets from r where r <= 3 group by path)
+select wo.path as stub, cast(inbound as bigint) as inbound, coalesce(targets, '') as targets from wo left join a on wo.path = a.path""")
+def orphan_stubs(f):
+    named = F.expr("replace(text, 'type: source' || chr(10), 'type: source' || chr(10) || 'sources: [parts/p-' || (length(text) % 200 + 1) || '.extracted.md]' || chr(10))")
+    pages = f.pages.withColumn("text", F.when(F.col("dir") == "sources", named).otherwise(F.col("text")))
+    return lint.orphan_stubs(pages, lint.inbound(f.links, f.pages), f.vault.select(F.col("doc").alias("path"), "text"))
+
+
+@query("""select 'parts/p-' || (length(text) % 200 + 1) || '.extracted.md' as source, min(path) as stub from wiki_page where dir = 'sources' group by 1""")
+def stub_lookup(f):
+    named = F.expr("replace(text, 'type: source' || chr(10), 'type: source' || chr(10) || 'sources:' || chr(10) || '  - parts/p-' || (length(text) % 200 + 1) || '.extracted.md' || chr(10))")
+    return lint.stubs_of(f.pages.where("dir = 'sources'").select("path", named.alias("text")))
+
+
+@query("""with p as (select a.src as page_a, b.src as page_b, count(distinct a.dst) as shared_sources from cites a join cites b on a.dst = b.dst and a.src < b.src group by a.src, b.src),
+k as (select distinct least(src, dst) as x, greatest(src, dst) as y from wiki_link),
+t as (select path, case when length(path) % 3 = 0 then '' when length(path) % 3 = 1 then 'p1' else 'p1,p2' end as p from wiki_page where type <> 'source'),
+b as (select page_a, page_b, cast(shared_sources as bigint) as shared_sources from p where not exists (select 1 from k where x = page_a and y = page_b) order by shared_sources desc, page_a, page_b limit 20)
+select page_a, page_b, shared_sources, coalesce(ta.p, '') as projects_a, coalesce(tb.p, '') as projects_b, coalesce(ta.p <> '' and tb.p <> '' and ta.p <> tb.p, false) as cross_project from b left join t ta on ta.path = page_a left join t tb on tb.path = page_b""")
+def bridge_projects(f):
+    tags = f.pages.where("type <> 'source'").select("path", F.expr("case length(path) % 3 when 0 then array('') when 1 then array('p1') else array('p2', 'p1', 'p2') end").alias("projects"))
+    got = graph.tagged_bridges(graph.bridges(graph.cites(f.pages, f.sources), graph.wiki_links(f.pages), 20), tags)
+    return got.withColumn("projects_a", F.array_join("projects_a", ",")).withColumn("projects_b", F.array_join("projects_b", ","))
+
+
+@query("with d as (select p, count(*) as n from (select src as p from wiki_link union all select dst from wiki_link) group by p) select path, round(4 + 1.6 * sqrt(coalesce(n, 0) + 1), 6) as radius from wiki_page left join d on path = p")
+def node_radius(f):
+    linked = graph.wiki_links(f.pages)
+    ends = linked.select(F.col("src").alias("path")).unionAll(linked.select(F.col("dst").alias("path"))).groupBy("path").agg(F.count("*").alias("n"))
+    return f.pages.join(ends, "path", "left").select("path", F.round(graph.radius("n"), 6).alias("radius"))
+
+
+_CHANGES = "select c_custkey * 3 as c_custkey, 'renamed ' || c_custkey as c_name, case when c_custkey % 2 = 0 then -1.0 end as c_acctbal, case when c_custkey % 7 = 0 then 'web' else 'log:' || c_custkey end as _provenance from {customer} where c_custkey % 5 = 0"
+
+
+@query(f"""with ch as ({_CHANGES.format(customer="customer")}) select c.c_custkey, coalesce(ch.c_name, c.c_name) as c_name, cast(coalesce(ch.c_acctbal, c.c_acctbal) as double) as c_acctbal, ch._provenance, case when ch.c_custkey is not null then '2024-01-31' end as _updated_at
+from customer c left join (select * from ch where _provenance <> 'web') ch on c.c_custkey = ch.c_custkey""")
+def class_table_update(f):
+    rows = f.customer.select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    return tables.update(rows, f.spark.sql(_CHANGES, customer=f.customer).withColumn("c_acctbal", F.col("c_acctbal").cast("double")), "c_custkey", "2024-01-31")[0]
+
+
+@query(f"""with ch as ({_CHANGES.format(customer="customer")}) select c_custkey, case when _provenance = 'web' then 'refused' when c_custkey in (select c_custkey from customer) then 'updated' else 'not_found' end as status from ch""")
+def class_table_update_status(f):
+    return tables.update(f.customer.select("c_custkey", "c_name"), f.spark.sql(_CHANGES, customer=f.customer), "c_custkey", "2024-01-31")[1]
+
+
+@query("""with a as (select c_mktsegment as t, max(timestamp '2024-01-01 00:00:00' + to_days(cast(c_custkey % 9 as int))) as audited from customer where c_mktsegment <> 'MACHINERY' group by 1),
+e as (select ts, ['MACHINERY', 'BUILDING', 'FURNITURE', 'UNKNOWN'][event_id % 4 + 1] as t from events) select e.t as table_name, cast(count(*) filter (audited is null or ts > audited) as bigint) as changes from e left join a on e.t = a.t group by e.t""")
+def change_counter(f):
+    audits = f.customer.where("c_mktsegment <> 'MACHINERY'").select(F.col("c_mktsegment").alias("table_name"), F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(c_custkey % 9)").alias("last_audit_at"))
+    changes = f.events.select(F.expr("array('MACHINERY', 'BUILDING', 'FURNITURE', 'UNKNOWN')[event_id % 4]").alias("table_name"), F.col("ts").alias("at"))
+    return tables.change_counts(changes, audits)
+
+
+@query("""with m as (select distinct p_brand as table_name from part union all select 'empty'), n as (select p_brand as t, count(*) as n from part group by 1)
+select table_name, 'h-' || table_name as schema_hash, 'entities/' || lower(table_name) || '.md' as entity_page, cast(coalesce(n, 0) as bigint) as row_count from m left join n on t = table_name""")
+def class_table_list(f):
+    names = f.part.select(F.col("p_brand").alias("table_name")).distinct().unionAll(f.spark.range(1).select(F.lit("empty").alias("table_name")))
+    meta = names.select("table_name", F.expr("'h-' || table_name").alias("schema_hash"), F.expr("'entities/' || lower(table_name) || '.md'").alias("entity_page"))
+    return tables.class_tables(meta, f.part.groupBy(F.col("p_brand").alias("table_name")).agg(F.count("*").alias("n")))
+
+
+@query("""select coalesce(l.n, d.n) as table_name, case when d.n is null then 'undeclared' when l.n is null then 'not synced' when l.n % 3 = 0 then 'stale' else 'synced' end as state
+from (select n_nationkey as n from nation where n_nationkey % 5 <> 0) l full join (select n_nationkey as n from nation where n_nationkey % 4 <> 0) d on l.n = d.n""")
+def schema_report(f):
+    of = lambda keep, h: f.nation.where(keep).select(F.col("n_nationkey").alias("table_name"), F.expr(h).alias("schema_hash"))
+    return tables.declared_report(of("n_nationkey % 5 <> 0", "'a'"), of("n_nationkey % 4 <> 0", "if(n_nationkey % 3 = 0, 'b', 'a')"))
+
+
+@query("""select case when event_id % 3 = 0 then 'genes' else 'chemicals' end as kind, case when event_type = 'purchase' then 'ok' when event_type = 'signup' then 'not_found' else 'pending' end as status, cast(count(*) as bigint) as n from events group by 1, 2""")
+def cache_status(f):
+    e = f.events.select(F.expr("if(event_id % 3 = 0, 'genes', 'chemicals')").alias("kind"), F.expr("case event_type when 'purchase' then 'ok' when 'signup' then 'not_found' end").alias("status"))
+    return lifecycle.cache_stats(e.where("status is not null"), e.where("status is null").select("kind"))
+
+
+@query("""select case when p_partkey % 3 = 0 then 'genes' else 'chemicals' end as kind, case when p_partkey % 3 = 0 then 'https://genes.example' else 'https://chemicals.example' end as endpoint, false as enabled, cast(count(distinct lower(p_name)) as bigint) as n_names, min(lower(p_name)) as first_name from part group by 1, 2""")
+def resolver_plan(f):
+    names = f.part.select(F.expr("if(p_partkey % 3 = 0, 'genes', 'chemicals')").alias("kind"), F.expr("'  ' || upper(p_name)").alias("name"))
+    return lifecycle.resolver_plan(names, {"genes": "https://genes.example", "chemicals": "https://chemicals.example"}, False)
+
+
+@query("""with x as (select 'vault/p-' || p_partkey || case when p_partkey % 2 = 0 then '.pdf.pdf' else '.pdf' end as path, p_partkey as k, unnest(range(1, p_size % 5 + 1)) as page from part)
+select path, cast(page as int) as page, 'p-' || k || '-p' || page || '.png' as asset, case when page = 1 and k % 3 = 0 then 'skip' else 'render' end as action from x""")
+def render_plan(f):
+    files = f.part.select(F.expr("'vault/p-' || p_partkey || if(p_partkey % 2 = 0, '.pdf.pdf', '.pdf')").alias("path"), F.expr("p_size % 5").alias("n_pages"))
+    return lifecycle.render_plan(files, f.part.where("p_partkey % 3 = 0").select(F.expr("'p-' || p_partkey || '-p1.png'").alias("asset")))
+
+
+@query("select doc_id, case when doc_id % 2 = 0 then 'inner ' || doc_id else 'outer' end as title, 'u' as source_url, 'mail' as kind from documents")
+def source_fields(f):
+    inner = F.expr("if(doc_id % 2 = 0, '---' || chr(10) || 'title: inner ' || doc_id || chr(10) || 'source_url: u' || chr(10) || '---' || chr(10), '')")
+    head = "---\ntitle: outer\nkind: mail\nsource_url: u\n---\n\n<!-- BEGIN FETCHED CONTENT -->\n"
+    fields = f.documents.select("doc_id", frontmatter.source_fields(F.concat(F.lit(head), inner, F.lit("# body"))).alias("m"))
+    return fields.select("doc_id", *[F.col("m")[k][0].alias(k) for k in ("title", "source_url", "kind")])
+
+
 # ---------------------------------------------------------------- streams
 
 
