@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes in one Arrow batch handed to Python; long texts make larger batches needless and risky.
-ARROW_ROWS, ARROW_BYTES = 1000, 32_000_000
+ARROW_ROWS, ARROW_BYTES = 1000, 16_000_000
 #: Bytes that separate words, as in the pattern [^\x20\x09-\x0D]+; bytes.split() splits on exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 #: The same words as a Java regular expression.

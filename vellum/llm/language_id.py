@@ -22,7 +22,7 @@ SAMPLE_DOCS = 3_000
 BUCKETS = 1 << 16
 SWITCH = 9.0
 #: Texts of a batch are worked on in groups of about so many characters.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_500_000
 # fixed values: first and last code point of the letters of a script
 SCRIPTS = {
     "Latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x250, 0x2AF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A)],
@@ -237,10 +237,11 @@ def language_id(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id
     columns that aren't carried are not read.
     """
     kept = docs.select(*carry)
+    text = "text" if "text" in carry else "_text"  # a carried text is not sent twice
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            values = texts(batch, "_text")
+            values = texts(batch, text)
             out: list = [("und", 0.0, [])] * len(values)
             if model.langs:
                 for at, group in groups(values):
@@ -252,4 +253,4 @@ def language_id(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id
         return f
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string, score double, spans array<struct<first_word:int,last_word:int,lang:string>>"])
-    return arrow_map(docs.select(*carry, F.col("text").alias("_text")), make, schema)
+    return arrow_map(kept if text == "text" else docs.select(*carry, F.col("text").alias("_text")), make, schema)
