@@ -282,12 +282,25 @@ def block_pairs(rows: DataFrame, leaders: int | None, fit: Callable[..., np.ndar
     """Pairs a, b (with a_size, b_size) of rows (block, node, size, comp, bits) that share a block and may link.
 
     They are of different components, and ``fit`` says of arrays of sizes and bitmaps which pairs may link.  With
-    ``leaders`` only pairs with one of so many nodes of each block, by a seeded order.  A pair comes once a block.
+    ``leaders`` only pairs with one of so many nodes of each block: some of each of its largest components, then of the
+    next, by a seeded order.  A pair comes once a block.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ("block", "node", "size", "comp")
 
+    def led(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        turn = _mix(x["node"].view(np.uint64) + _M)
+        by = np.lexsort((turn, x["comp"], x["block"]))
+        begin = np.flatnonzero(np.concatenate([[True], (np.diff(x["block"][by]) != 0) | (np.diff(x["comp"][by]) != 0)]))
+        count = np.diff(np.append(begin, len(by)))
+        tier, many = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+        tier[by] = (np.arange(len(by)) - np.repeat(begin, count)) // max(leaders // 4, 1)
+        many[by] = np.repeat(count, count)
+        order = np.lexsort((turn, -many, tier, x["block"]))
+        return {c: v[order] for c, v in x.items()}
+
     def pairs(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x = led(x) if leaders else x
         at = np.arange(len(x["block"]))
         begins = np.concatenate([[True], x["block"][1:] != x["block"][:-1]])
         start = np.maximum.accumulate(np.where(begins, at, 0))
@@ -322,7 +335,7 @@ def block_pairs(rows: DataFrame, leaders: int | None, fit: Callable[..., np.ndar
         if held:
             yield from pairs(held)
 
-    dealt = rows.select(*names, "bits").withColumn("turn", F.xxhash64("node", F.lit("leader"))).repartition(n, "block").sortWithinPartitions("block", "turn", "node")
+    dealt = rows.select(*names, "bits").repartition(n, "block").sortWithinPartitions("block", "node")
     return dealt.mapInArrow(run, "a long, a_size long, b long, b_size long")
 
 
@@ -395,7 +408,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         spread = own.withColumn("one", F.min("comp").over(w)).withColumn("other", F.max("comp").over(w)).where("one <> other").select("block", "node", "size", "comp").distinct()
         pairs = block_pairs(spread.join(named.select("node", "bits"), "node"), leaders, alike(percent)).groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("c")).where(enough("c", "a_size", "b_size", percent))
         if leaders:
-            pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))).where(F.col("r") <= leaders)
+            # a node's best leaders may have smaller or larger hashes than it
+            rank = lambda x, y: F.row_number().over(Window.partitionBy(x).orderBy(F.desc("c"), y))
+            pairs = pairs.withColumn("of_a", rank("a", "b")).withColumn("of_b", rank("b", "a")).where(F.least("of_a", "of_b") <= leaders)
         pairs = materialise(pairs.select("a", "b"), "jaccard-pairs")
         if not pairs.isEmpty():
             more = materialise(verify(pairs, docs, named, n, percent), "jaccard-links")
