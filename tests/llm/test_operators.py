@@ -532,6 +532,20 @@ def test_jaccard_join_of_small_chunks_and_hot_lists(spark, monkeypatch):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_groups(docs).collect()} == brute_jaccard(rows)
 
 
+def test_leaders_come_of_the_largest_components(spark):
+    # a component of 40 among 300 nodes on their own: each of these meets some of it, in blocks cut by Arrow batches too
+    rows = [(b, 1000 * b + i, 50, 7 if i < 40 else 1000 * b + i, bytes(8)) for b in (1, 2) for i in range(340)]
+    frame = spark.createDataFrame(rows, "block long, node long, size long, comp long, bits binary")
+    every = lambda n, m, x, y: np.ones(len(n), bool)
+    got = {(r["a"], r["b"]) for r in jaccard_join.block_pairs(frame, 16, every).collect()}
+    big = lambda x: x % 1000 < 40
+    assert all(a < b and a // 1000 == b // 1000 and not (big(a) and big(b)) for a, b in got)
+    met = {(a if big(b) else b) for a, b in got if big(a) != big(b)}
+    assert met == {r[1] for r in rows if not big(r[1])}
+    assert len(got) <= 2 * 16 * 340
+    assert len(jaccard_join.block_pairs(frame, None, every).collect()) == 2 * (340 * 339 - 40 * 39) // 2
+
+
 def test_prefixes_hold_the_rarest_shared_ngrams(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CHUNK", 300)
     monkeypatch.setattr(jaccard_join, "HOT", 2)
