@@ -205,11 +205,14 @@ def _path(f: Fixtures, stem: str) -> str:
     return f.pages.where(F.col("stem") == stem).agg(F.min("path")).first()[0]
 
 
-@query("""with a as (select distinct src from cites order by src limit 2) select dst from cites where src = (select min(src) from a) intersect select dst from cites where src = (select min(src) from a)""")
+@query("""with t as (select dst from cites group by dst order by count(distinct src) desc, dst limit 1), p as (select distinct src from cites where dst = (select dst from t) order by src limit 2)
+select dst from cites where src = (select min(src) from p) intersect select dst from cites where src = (select max(src) from p)""")
 def shared_sources(f):
+    """Sources that the first two pages which cite the most cited source have in common."""
     c = graph.cites(f.pages, f.sources)
-    first = c.agg(F.min("src")).first()[0]
-    return graph.shared(c, first, first)
+    top = c.groupBy("dst").agg(F.count_distinct("src").alias("n")).orderBy(F.desc("n"), "dst").limit(1).select("dst")
+    first = c.join(F.broadcast(top), "dst").select("src").distinct().orderBy("src").limit(2).agg(F.min("src"), F.max("src")).first()
+    return graph.shared(c, first[0], first[1])
 
 
 @query("""with s as (select min(path) as p from wiki_page where stem = 'o-0'), h1 as (select distinct dst as node from wiki_link, s where src = p and dst <> p), h2 as (select distinct l.dst as node from wiki_link l join h1 on l.src = h1.node, s where l.dst <> p)
@@ -219,11 +222,15 @@ def neighbors_2hop(f):
     return graph.reach(graph.wiki_links(f.pages), start, 2).select("node", "depth")
 
 
-@query("""with recursive_seed as (select min(path) as p from wiki_page where stem = 'o-0'), h1 as (select distinct dst as n from wiki_link, recursive_seed where src = p), h2 as (select distinct dst as n from wiki_link join h1 on src = n), h3 as (select distinct dst as n from wiki_link join h2 on src = n), h4 as (select distinct dst as n from wiki_link join h3 on src = n),
-goal as (select path as g from wiki_page where stem = 'part-7'), al as (select n, 1 as d from h1 union all select n, 2 from h2 union all select n, 3 from h3 union all select n, 4 from h4)
-select cast(min(d) as int) as depth from al, goal where n = g having min(d) is not null""")
+@query("""with s as (select min(path) as p from wiki_page where stem = 'o-0'), h1 as (select distinct dst as n from wiki_link, s where src = p), h2 as (select distinct dst as n from wiki_link join h1 on src = n), h3 as (select distinct dst as n from wiki_link join h2 on src = n), h4 as (select distinct dst as n from wiki_link join h3 on src = n),
+al as (select n, 1 as d from h1 union all select n, 2 from h2 union all select n, 3 from h3 union all select n, 4 from h4), near as (select n, min(d) as d from al, s where n <> p group by n)
+select cast(d as int) as depth from near order by d desc, n limit 1""")
 def shortest_path(f):
-    return graph.shortest_path(graph.wiki_links(f.pages), _path(f, "o-0"), _path(f, "part-7"), 4)
+    """Steps from a page to one of the farthest that four steps reach."""
+    links, start = graph.wiki_links(f.pages), _path(f, "o-0")
+    reached = graph.reach(links, f.spark.createDataFrame([(start,)], "node string"), 4)
+    goal = reached.orderBy(F.desc("depth"), "node").limit(1).first()
+    return graph.shortest_path(links, start, goal["node"] if goal else start, 4)
 
 
 @query("""with p as (select a.src as page_a, b.src as page_b, count(distinct a.dst) as shared_sources from cites a join cites b on a.dst = b.dst and a.src < b.src group by a.src, b.src),
