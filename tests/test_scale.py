@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
-from vellum.operators import search
+from vellum.operators import lint, search
 
 
 def test_phrase_is_linear_in_the_text(spark):
@@ -16,3 +16,17 @@ def test_phrase_is_linear_in_the_text(spark):
     got = t.select("doc_id", *[search.matches(F.col("t"), x).alias(n) for n, x in (("p", ["of", "the"]), ("a", ["a", "a"]), ("w", ["of", "the*"]))]).where("p >= 0 and a >= 0")
     assert {r["doc_id"]: (r["p"], r["a"], r["w"]) for r in got.collect()} == {0: (20_000, 0, 20_000), 1: (0, 2, 0), 2: (0, 0, 0), 4: (1, 0, 2)}
     assert time.time() - began < 30
+
+
+def test_crossref_shuffles_only_what_may_be_a_stem(spark):
+    """All phrases of all texts went through the shuffle; results as by the product of pages and stems."""
+    filler = " ".join(f"alpha w{i}" for i in range(300))
+    stems = ["alpha-beta", "alpha.beta", "gamma", "abc", "délta-x", "long-name-of-five-words"]
+    texts = [f"Alpha beta and [[alpha.beta]] gamma {filler}", "alpha-beta [[Gamma]] Délta x", "a long name of five words, gamma gamma", "abc", filler, None]
+    pages = spark.createDataFrame([(f"p/{s}.md", s, t) for s, t in zip(stems, texts, strict=True)], "path string, stem string, text string")
+    got = {r["path"]: (r["mentioned"], r["linked"]) for r in lint.crossref(pages).collect()}
+    assert got == {"p/alpha-beta.md": (2, 1), "p/alpha.beta.md": (3, 1), "p/gamma.md": (1, 0), "p/abc.md": (0, 0), "p/délta-x.md": (0, 0), "p/long-name-of-five-words.md": (0, 0)}
+    known = pages.select(lint._plain("stem").alias("phrase"))
+    many = spark.range(20_000).select(F.concat(F.lit("alpha w"), "id").alias("phrase")).unionByName(known)
+    left = {r["phrase"] for r in lint._known(many, known).collect()}
+    assert {r["phrase"] for r in known.collect()} <= left and len(left) < 200

@@ -73,31 +73,71 @@ def orphan_rate(count: Column) -> Column:
 
 def unsourced(text: Column | str) -> Column:
     """Share of the lines of five words or more, outside frontmatter and headings, without a citation."""
-    lines = F.filter(F.split(tx.body(text), "\n"), lambda x: (tx.tokens(x) >= 5) & ~F.ltrim(x).startswith("#"))
-    bare = F.filter(lines, lambda x: ~x.contains("(vault:"))
-    return F.when(F.size(lines) == 0, F.lit(0.0)).otherwise(F.size(bare) / F.size(lines))
+    long = lambda x: x.rlike(r"\A[ \t\n\x0b\f\r]*+(?:[^ \t\n\x0b\f\r]++[ \t\n\x0b\f\r]++){4}[^ \t\n\x0b\f\r]") & ~F.ltrim(x).startswith("#")
+    none, one = F.struct(F.lit(0).alias("n"), F.lit(0).alias("bare")), lambda s, x: F.struct((s["n"] + 1).alias("n"), (s["bare"] + F.when(x.contains("(vault:"), 0).otherwise(1)).alias("bare"))
+    counted = lambda s, x: F.when(long(x), one(s, x)).otherwise(s)
+    return F.aggregate(F.split(tx.body(text), "\n"), none, counted, lambda s: F.when(s["n"] == 0, F.lit(0.0)).otherwise(s["bare"] / s["n"]))
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    """Phrases of n words."""
+def _grams(tokens: Column, n: int, first: list[str | None] = (None,)) -> Column:
+    """Phrases of n words, of those that begin with one of ``first`` (None: all)."""
     starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
+    if None not in first:
+        starts = F.filter(starts, lambda i: F.get(tokens, i - 1).isin(list(first)))
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
 
 
+#: Beyond so many first words of stems, all phrases of a text are looked up; bits of the map of stems' phrases, at most (as log2).
+FIRST_WORDS, MAP_BITS = 10_000, 27
+
+
+def _plain(c: Column | str) -> Column:
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
+
+
+def _known(rows: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The rows whose phrase may be among ``phrases``: none that is goes, most others do.
+
+    A map of one bit a hash, 16 bits a phrase as long as that stays within 2^MAP_BITS, is broadcast in blocks of 2^16 bits.
+    """
+    bits = min(MAP_BITS, max(16, (16 * phrases.count()).bit_length()))
+    place = F.shiftrightunsigned(F.xxhash64("phrase"), 64 - bits)
+    block, cell = F.shiftright("_p", 16).cast("int"), F.shiftright(F.col("_p").bitwiseAND(0xFFFF), 6).cast("int")
+    bit = F.expr("cast(_p & 63 as int)")
+    own = phrases.select(place.alias("_p")).select(block.alias("_b"), cell.alias("_c"), F.expr("shiftleft(1L, cast(_p & 63 as int))").alias("_v"))
+    every = phrases.sparkSession.range(1 << (bits - 6)).select(F.shiftright("id", 10).cast("int").alias("_b"), F.col("id").bitwiseAND(1023).cast("int").alias("_c"), F.lit(0).cast("long").alias("_v"))
+    cells = own.unionByName(every).groupBy("_b", "_c").agg(F.bit_or("_v").alias("_v"))
+    held = cells.groupBy("_b").agg(F.sort_array(F.collect_list(F.struct("_c", "_v"))).alias("_w")).select("_b", F.col("_w._v").alias("_w"))
+    at = rows.withColumn("_p", place).withColumn("_b", block)
+    found = at.join(F.broadcast(held), "_b").where(F.call_function("shiftright", F.get("_w", cell), bit).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return found.drop("_p", "_b", "_w")
+
+
 def crossref(pages: DataFrame, least: int = 4) -> DataFrame:
     """path, mentioned, linked and crossref = 1 - linked / mentioned of other pages' stems.
 
     A mention is a stem's words in the text, as a phrase.  Texts become phrases of as many words as stems have (a few
-    lengths reach the driver), and an equi-join on the phrase replaces the product of pages and stems.
+    lengths reach the driver) that begin with a first word of one, and an equi-join on the phrase replaces the product of
+    pages and stems.  Phrases that can't be a stem's are left out before they are shuffled.
     """
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
-    stems = pages.where(F.length("stem") >= least).select(F.lower("stem").alias("stem"), plain("stem").alias("phrase")).distinct()
-    lengths = sorted(r["n"] for r in stems.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect())
-    tokens = F.split(plain("text"), " ")
-    words = pages.select("path", F.lower("stem").alias("own"), tokens.alias("t"), F.transform(tx.links("text"), lambda x: F.lower(x)).alias("l"))
-    grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("t"), n) for n in lengths or [1]])))
-    said = words.select("path", "own", "l", F.explode(grams).alias("phrase")).join(stems, "phrase").where("stem <> own")
-    got = said.groupBy("path").agg(F.count("*").alias("mentioned"), F.count_if(F.array_contains("l", F.col("stem"))).alias("linked"))
+    known = pages.where(F.length("stem") >= least).select(F.lower("stem").alias("stem"), _plain("stem").alias("phrase"))
+    words = known.select(F.split("phrase", " ").alias("w"))
+    begun = words.select(F.size("w").alias("n"), F.get("w", 0).alias("first")).distinct().limit(FIRST_WORDS + 1).collect()
+    if len(begun) > FIRST_WORDS:  # many: every phrase of their lengths
+        begun = [(r["n"], None) for r in words.select(F.size("w").alias("n")).distinct().collect()]
+    begins = {n: [w for m, w in begun if m == n] for n in sorted({n for n, _ in begun})} or {1: [None]}
+    tokens = F.split(_plain("text"), " ")
+    links = F.transform(tx.links("text"), lambda x: F.struct(_plain(x).alias("phrase"), F.lower(x).alias("stem")))
+    texts = pages.select("path", F.lower("stem").alias("own"), _plain("stem").alias("own_phrase"), tokens.alias("t"), links.alias("l"))
+    grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("t"), n, first) for n, first in begins.items()])))
+    said = _known(texts.select("path", "own", "own_phrase", "l", F.explode(grams).alias("phrase")), known)
+    here = F.transform(F.filter("l", lambda x: x["phrase"] == F.col("phrase")), lambda x: x["stem"])
+    said = said.select("path", "phrase", F.when(F.col("own_phrase") == F.col("phrase"), F.col("own")).alias("own"), F.when(F.size(here) > 0, F.array_distinct(here)).alias("l"))
+    stems = known.groupBy("phrase").agg(F.collect_set("stem").alias("stems"))
+    others = said.join(stems, "phrase").withColumn("stems", F.when(F.col("own").isNull(), F.col("stems")).otherwise(F.array_remove("stems", F.col("own"))))
+    linked = F.coalesce(F.size(F.array_intersect("stems", "l")), F.lit(0))
+    got = others.select("path", F.size("stems").alias("m"), F.when(F.col("l").isNull(), 0).otherwise(linked).alias("k")).where("m > 0")
+    got = got.groupBy("path").agg(F.sum("m").alias("mentioned"), F.sum("k").alias("linked"))
     return pages.select("path").join(got, "path", "left").select("path", F.coalesce("mentioned", F.lit(0)).alias("mentioned"), F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce(1 - F.col("linked") / F.col("mentioned"), F.lit(0.0)).alias("crossref"))
 
 
@@ -142,9 +182,11 @@ def scores(pages: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
 
     ``docs`` (doc, text) is the material that pages should cite.
     """
-    count = inbound(links, pages).select("path", "citers")
-    got = pages.select("path", "dir", unsourced("text").alias("unsourced")).join(crossref(pages).select("path", "crossref"), "path").join(count, "path")
-    got = got.join(search.coverage_gap(pages, docs).withColumnRenamed("gap", "coverage"), "path").withColumn("orphan", orphan_rate(F.col("citers")))
+    pointed = links.where(F.col("target") != F.lower("stem")).select("target", "path").distinct().groupBy(F.col("target").alias("s")).agg(F.count("*").alias("citers"))
+    count = pages.select("path", F.lower("stem").alias("s")).join(pointed, "s").select("path", "citers")
+    own = pages.select("path", "stem", "dir", unsourced("text").alias("unsourced"), F.array_distinct(tx.citations(F.lower("text"))).alias("cited"))
+    got = search.gaps(own, docs).withColumnRenamed("gap", "coverage").join(crossref(pages).select("path", "crossref"), "path").join(count, "path", "left")
+    got = got.withColumn("orphan", orphan_rate(F.coalesce("citers", F.lit(0))))
     composite = (F.col("crossref") + F.col("orphan") + F.col("unsourced") + F.col("coverage")) * 0.25
     return got.select("path", "dir", "crossref", "orphan", "unsourced", "coverage", composite.alias("composite"))
 
