@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.operators import lint, search
+from vellum.streaming import activity as streams
 
 
 def test_phrase_is_linear_in_the_text(spark):
@@ -30,3 +31,13 @@ def test_crossref_shuffles_only_what_may_be_a_stem(spark):
     many = spark.range(20_000).select(F.concat(F.lit("alpha w"), "id").alias("phrase")).unionByName(known)
     left = {r["phrase"] for r in lint._known(many, known).collect()}
     assert {r["phrase"] for r in known.collect()} <= left and len(left) < 200
+
+
+def test_drained_rows_stay_out_of_the_driver(spark, tmp_path):
+    """A stream's result was a table in the driver's memory, and cut off after 300 s."""
+    spark.range(10).selectExpr("id % 3 as k").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long").parquet(str(tmp_path / "in"))
+    got = streams.drain(stream, "t_rows")
+    assert sorted(r["k"] for r in got.collect()) == [0, 0, 0, 0, 1, 1, 1, 2, 2, 2] and all("/vellum/" in f for f in got.inputFiles()) and got.inputFiles()
+    whole = streams.drain(stream.groupBy("k").count(), "t_counts", "complete")
+    assert {r["k"]: r["count"] for r in whole.collect()} == {0: 4, 1: 3, 2: 3} and whole.inputFiles()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +49,16 @@ def upsert_batches(stream: DataFrame, folder: str, key: str, checkpoint: str):
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run over what is there and return the result."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination(300)
-    return stream.sparkSession.table(name)
+    """Run over all that is there and return the result: files in the shared folder, which the driver doesn't hold.
+
+    Appended rows are written as they come; of other modes the last batch with rows counts, as in a table that is written anew.
+    """
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='vellum-')}"
+    folder = f"{base.rstrip('/')}/vellum/{name}-{uuid.uuid4().hex}"
+    if mode == "append":
+        out = stream.writeStream.format("parquet").option("path", f"{folder}/rows")
+    else:
+        out = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows"))
+    out.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
