@@ -5,7 +5,8 @@ import time
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
-from vellum.operators import lint, search
+from vellum.operators import graph, lint, search
+from vellum.session import stored
 from vellum.streaming import activity as streams
 
 
@@ -41,3 +42,12 @@ def test_drained_rows_stay_out_of_the_driver(spark, tmp_path):
     assert sorted(r["k"] for r in got.collect()) == [0, 0, 0, 0, 1, 1, 1, 2, 2, 2] and all("/vellum/" in f for f in got.inputFiles()) and got.inputFiles()
     whole = streams.drain(stream.groupBy("k").count(), "t_counts", "complete")
     assert {r["k"]: r["count"] for r in whole.collect()} == {0: 4, 1: 3, 2: 3} and whole.inputFiles()
+
+
+def test_shortest_path_reads_its_edges_once(spark):
+    """Every step made the links of all pages anew and shuffled them."""
+    pages = spark.createDataFrame([(f"p/n{i}.md", f"n{i}", f"[[n{i + 1}]] [[N{i + 1}|x]] [[n{i}]]") for i in range(6)], "path string, stem string, text string")
+    links = stored(graph.wiki_links(pages), "t-edges")
+    assert sorted(map(tuple, links.collect())) == [(f"p/n{i}.md", f"p/n{i + 1}.md") for i in range(5)] and "/vellum/t-edges" in links.inputFiles()[0]
+    found = graph.shortest_path(links, "p/n0.md", "p/n4.md", 4, stored=True)
+    assert [r["depth"] for r in found.collect()] == [4] and not graph.shortest_path(links, "p/n0.md", "p/n5.md", 4, stored=True).count()

@@ -1,6 +1,9 @@
 """Session defaults."""
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "vellum", master: str | None = None, **conf: str) -> SparkSession:
@@ -15,3 +18,11 @@ def session(app: str = "vellum", master: str | None = None, **conf: str) -> Spar
     for k, v in (defaults | {k.replace("_", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table in spark.checkpoint.dir, the folder that driver and executors share: what it came of isn't computed again."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='vellum-')}"
+    path = f"{base.rstrip('/')}/vellum/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
