@@ -562,3 +562,13 @@ def test_components_of_chains_and_hubs(spark):
     got = {r["node"]: r["comp"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(61)} == {0} and {got[100 + i] for i in range(40)} == {-5}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_line_words_are_counted_in_all_documents(spark):
+    """Beyond 10,000 documents the words of a sample were counted, and the 100,000 most frequent kept."""
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('every ', 'of', id % 50, if(id % 5000 = 7, ' seldom', '')) as text")
+    hashes, logs, _ = fuzzy_lines.frequencies(docs)
+    words = fuzzy_lines.words_of(b"every seldom")[0]
+    got = dict(zip(hashes.tolist(), logs.tolist(), strict=True))
+    total = 40_004
+    assert [got[h] for h in words.tolist()] == [int(np.log2(n / total * 2**21)) for n in (20_000, 4)]
