@@ -572,3 +572,52 @@ def test_line_words_are_counted_in_all_documents(spark):
     got = dict(zip(hashes.tolist(), logs.tolist(), strict=True))
     total = 40_004
     assert [got[h] for h in words.tolist()] == [int(np.log2(n / total * 2**21)) for n in (20_000, 4)]
+
+
+def test_trim_searches_imported_modules_once():
+    """Each task of Python spent about 50 ms on modules that stay, half of what a small task took."""
+    import gc
+
+    from vellum.llm import common
+
+    gc.unfreeze()
+    try:
+        common.trim()
+        assert gc.get_freeze_count() > 10_000
+        frozen, cycle = gc.get_freeze_count(), []
+        cycle.append(cycle)
+        common.trim()
+        assert gc.get_freeze_count() <= frozen
+    finally:
+        gc.unfreeze()
+
+
+def test_components_take_few_rounds(spark, monkeypatch):
+    """A chain of 200 links in the order of its nodes; labels that halve their way took a round for each, with four shuffles of all links."""
+    made = []
+    monkeypatch.setattr(components, "materialise", lambda df, tag, f=components.materialise: (made.append(f(df, tag)), made[-1])[1])
+    edges = [(i, i + 1) for i in range(200)] + [(1000 + 2 * i, 1001 + 2 * i) for i in range(300)]
+    sizes = []
+    monkeypatch.setattr(components, "release", lambda *frames: sizes.extend(x.count() for x in frames if x.columns == ["a", "b"]))
+    got = {r["node"]: r["comp"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 + i - i % 2 for i in range(600)}
+    assert sizes[0] == 500 and sum(sizes) < 1200  # links that are read in all rounds together
+
+
+def test_blocks_by_size_give_the_same_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "ROWS", 30)
+    near, close = fuzzy_lines.near(0.8), fuzzy_lines.close(0.8)
+    rows = [(1, i, 10 if i < 50 else 100, i, bytes(32)) for i in range(100)] + [(2, 1000 + i, 10, 7, bytes(32)) for i in range(50)]
+    table = spark.createDataFrame(rows, "block long, node long, size long, comp long, bits binary")
+    want = {(i, j) for i in range(100) for j in range(i + 1, 100) if (i < 50) == (j < 50)}
+    for f in (None, close):
+        assert {(r["a"], r["b"]) for r in jaccard_join.block_pairs(table, None, near, f).collect()} == want
+
+
+def test_word_hashes_of_any_length():
+    words = [b"a" * n + b"b" * (k % 2) for n in (1, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200) for k in (0, 1)] + ["é".encode() * 9, b"x"]
+    raw = b"\n " + b"  ".join(words) + b"\n"
+    hashes, begins = fuzzy_lines.words_of(raw)
+    assert [raw[b : b + len(w)] for b, w in zip(begins.tolist(), words, strict=True)] == words
+    assert len(set(hashes.tolist())) == len(set(words))
+    assert [int(fuzzy_lines.words_of(w)[0][0]) for w in words] == hashes.tolist()
